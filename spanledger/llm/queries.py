@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, tokens
+from . import decontaminate, linededup, near_dedup, packing, tokens
 from .common import shared_folder
 
 
@@ -16,12 +16,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     tokens.write_token_files(_table(spark, sf_dir, "documents"), path, tokens.default_tokenizer())
     return tokens.read_digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_token_files)}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op4_token_files, op6_near_dedup, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
