@@ -1,8 +1,7 @@
 """Line dedup with two Bloom filters, for hashes seen once and seen twice.
 
-A first pass over the texts sends only 64-bit hashes of the lines' keys, distinct in each batch, to segments
-of the hash space. A segment (about SEGMENT_HASHES hashes, whatever the input) has two Bloom filters: a hash that the
-once filter already holds goes into the twice filter. Hashes that the twice filter holds are suspects.
+A first pass over the texts sends only 64-bit hashes of the lines' keys to the filters (see blooms.py), which
+give the suspects.
 The second pass tests every line against the suspects: only suspected lines shuffle, with their whole keys,
 which are counted exactly and get their first document. The third pass drops the other lines.
 
@@ -19,36 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, gathered, id_text, mix64, slices, span_hashes, stash, utf8
+from .blooms import BROADCAST_BYTES, as_filter, first_of_each, repeated_hashes
+from .common import _IS_SPACE, id_text, slices, span_hashes, stash, utf8
 
 MIN_CHARS = 10
-SEGMENT_HASHES = 4_000_000
-BROADCAST_BYTES = 128 << 20
-_PROBES, _BITS_EACH = 4, 16
-
-
-class Bloom:
-    """A Bloom filter over 64-bit hashes."""
-
-    def __init__(self, expected: int):
-        self.size = np.uint64(max(64, expected * _BITS_EACH))
-        self.bits = np.zeros(-(-int(self.size) // 8), dtype=np.uint8)
-
-    def _at(self, h: np.ndarray):
-        step = mix64(h ^ np.uint64(0xA5A5A5A55A5A5A5A)) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            for i in range(_PROBES):
-                yield (h + step * np.uint64(i)) % self.size
-
-    def add(self, h: np.ndarray) -> None:
-        for at in self._at(h):
-            np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), dtype=bool)
-        for at in self._at(h):
-            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
 
 
 class Lines:
@@ -85,54 +58,14 @@ class Lines:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def _hashes(segments: int, min_chars: int):
-    """Distinct key hashes of each batch by segment; `often` are those found in two rows already."""
-
-    def run(batches):
-        for part in gathered(batches):
-            found = []
-            for piece in slices([part]):
-                lines = Lines(piece.column("text"), min_chars)
-                pairs = np.stack([lines.hash[lines.long], lines.rows[lines.long].astype(np.uint64)])
-                order = np.lexsort(pairs[::-1])
-                h, r = pairs[:, order]
-                keep = np.ones(len(h), dtype=bool)
-                keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                found.append(h[keep])
-            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0))
-            segment = (h >> np.uint64(33)) % np.uint64(segments)
-            for s in np.unique(segment):
-                own = segment == s
-                yield pa.record_batch([pa.array([int(s)], pa.int32()), pa.array([h[own].tobytes()], pa.binary()), pa.array([h[own & (n > 1)].tobytes()], pa.binary())], names=["segment", "seen", "often"])
+def _hashed(min_chars: int):
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = Lines(texts, min_chars)
+        return lines.hash[lines.long], lines.rows[lines.long]
 
     return run
 
 
-def _suspects(batches):
-    """Rows come sorted by segment. The suspects of each segment are those that its twice filter holds."""
-
-    def close(seen: list[np.ndarray], often: list[np.ndarray]):
-        once, twice = Bloom(sum(map(len, seen))), Bloom(sum(map(len, seen)))
-        for h, more in zip(seen, often):
-            twice.add(h[once.has(h)])
-            twice.add(more)
-            once.add(h)
-        every = np.unique(np.concatenate(seen))
-        return pa.record_batch([pa.array(every[twice.has(every)].view(np.int64))], names=["hash"])
-
-    now, seen, often = None, [], []
-    for batch in batches:
-        for segment, a, b in zip(batch.column("segment").to_pylist(), batch.column("seen"), batch.column("often")):
-            if segment != now and seen:
-                yield close(seen, often)
-                seen, often = [], []
-            now = segment
-            seen.append(np.frombuffer(a.as_buffer(), dtype=np.uint64))
-            often.append(np.frombuffer(b.as_buffer(), dtype=np.uint64))
-    if seen:
-        yield close(seen, often)
-
-
 def _keys(test, min_chars: int):
     """doc_id, hash and key of the lines that may be repeats, each key once a row."""
 
@@ -143,11 +76,7 @@ def _keys(test, min_chars: int):
             if test is not None:
                 maybe = maybe[test.value.has(lines.hash[maybe])]
             if len(maybe):
-                order = np.lexsort((lines.hash[maybe], lines.rows[maybe]))
-                maybe = maybe[order]
-                keep = np.ones(len(maybe), dtype=bool)
-                keep[1:] = (lines.hash[maybe][1:] != lines.hash[maybe][:-1]) | (lines.rows[maybe][1:] != lines.rows[maybe][:-1])
-                maybe = maybe[keep]
+                maybe = maybe[first_of_each(lines.hash[maybe], lines.rows[maybe])]
                 yield pa.record_batch([part.column("doc_id").take(pa.array(lines.rows[maybe])), pa.array(lines.hash[maybe].view(np.int64)), pa.array([lines.key(i) for i in maybe], pa.string())], names=["doc_id", "hash", "key"])
 
     return run
@@ -157,20 +86,11 @@ def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int):
     """(rows to read, function from a record batch and its lines to the mask of lines that stay)."""
     spark = docs.sparkSession
     texts = id_text(docs)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = stash(texts.mapInArrow(_hashes(partitions, min_chars), "segment int, seen binary, often binary"), compression="none")
-    total = held.agg(F.coalesce(F.sum(F.length("seen")), F.lit(0))).first()[0] // 8
-    if total > partitions * SEGMENT_HASHES:  # finer segments, so that each stays small
-        partitions = -(-total // SEGMENT_HASHES)
-        held = texts.mapInArrow(_hashes(partitions, min_chars), "segment int, seen binary, often binary")
-    suspects = stash(held.repartition(partitions, "segment").sortWithinPartitions("segment").mapInArrow(_suspects, "hash long"))
-    n = suspects.count()
-    if n * _BITS_EACH // 8 <= broadcast_bytes and n * 8 <= broadcast_bytes:
-        bloom = Bloom(n)
-        bloom.add(np.array(suspects.toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64))
-        keys = texts.mapInArrow(_keys(spark.sparkContext.broadcast(bloom), min_chars), "doc_id long, hash long, key string")
-    else:
-        keys = texts.mapInArrow(_keys(None, min_chars), "doc_id long, hash long, key string").join(suspects, "hash", "left_semi")
+    suspects = repeated_hashes(texts, _hashed(min_chars))
+    test = as_filter(suspects, broadcast_bytes)
+    keys = texts.mapInArrow(_keys(test, min_chars), "doc_id long, hash long, key string")
+    if test is None:
+        keys = keys.join(suspects, "hash", "left_semi")
     keys = keys.where("doc_id is not null")
     ranked = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("hash").alias("hash")).where("first <> last")
     confirmed = stash(ranked.select("key", "hash", "first"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, near_dedup, packing, tokens
+from . import decontaminate, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, urlfilter
 from .common import shared_folder
 
+SHINGLE_OF_CONTRACT, PERCENT = 4, 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents")).withColumn("quality", F.round("quality", 6))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(_table(spark, sf_dir, "documents"))
 
@@ -26,14 +33,66 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark, path)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=SHINGLE_OF_CONTRACT, percent=PERCENT)
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op4_token_files, op6_near_dedup, op9_packing)}
-
-ORACLE_SQL: dict[str, str] = {}
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """pages with a fetch time in 2024 that follows from page_id; the table has none."""
+    day, second = F.expr("cast(page_id * 7919 % 366 as int)"), F.expr("page_id * 131 % 86400")
+    return pages.select("page_id", "url", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(day, F.lit(0), F.lit(0), second.cast("decimal(18,6)"))).alias("fetched_at"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the captures, whose entries and days follow from the hosts' md5."""
+    hosts = captures.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    code = lambda at: F.conv(F.substring(F.md5("host"), at, 4), 16, 10).cast("int")
+    coded = hosts.select("host", code(1).alias("a"), code(5).alias("b"), F.regexp_extract("host", r"([^.]+[.][^.]+[.][^.]+)$", 1).alias("parent"))
+    rules = [  # list, kind, pattern, action, day, when
+        ("malware", "host", "host", "add", "a % 300", "a % 3 = 0"),
+        ("malware", "host", "host", "remove", "a % 300 + 20 + b % 100", "a % 3 = 0 and b % 2 = 0"),
+        ("malware", "host", "host", "add", "a % 300 + 170", "a % 3 = 0 and b % 4 = 0"),
+        ("adult", "domain", "parent", "add", "b % 200", "b % 5 = 0 and parent <> ''"),
+        ("spam", "prefix", "host || '/en'", "add", "b % 250", "a % 4 = 1"),
+        ("spam", "prefix", "host || '/en'", "remove", "b % 250 + 60", "a % 4 = 1"),
+        ("allow", "host", "host", "add", "100", "a % 7 = 0"),
+    ]
+    entry = lambda name, kind, pattern, action, day, when: f"if({when}, named_struct('list', '{name}', 'kind', '{kind}', 'pattern', {pattern}, 'action', '{action}', 'day', {day}), null)"
+    each = coded.select(F.explode(F.expr(f"filter(array({', '.join(entry(*r) for r in rules)}), x -> x is not null)")).alias("e")).select("e.*").distinct()
+    return each.select("list", "kind", "pattern", "action", F.expr("timestamp'2024-01-01' + make_dt_interval(day)").alias("listed_at"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(_table(spark, sf_dir, "pages"))
+    out = urlfilter.filter_urls(captures, dated_entries(captures))
+    return out.withColumns({"lists": F.array_join("lists", ","), "fetched_at": F.col("fetched_at").cast("timestamp_ntz")})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter)
+}
+
+ORACLE_SQL = {
+    "op2_quality": oracles.quality_sql(),
+    "op3_line_dedup": oracles.line_dedup_sql(linededup.MIN_CHARS),
+    "op6_near_dedup": oracles.near_dedup_sql(SHINGLE_OF_CONTRACT, PERCENT),
+    "op10_url_filter": oracles.URL_FILTER_SQL,
+}
