@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import decontaminate as _decontaminate
+from spanledger.llm import decontaminate, linededup, near_dedup, packing, tokens, toxicity
 from spanledger.llm.common import stash
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learnt from the labels of those at hand, predicts to be toxic go."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go."""
+    return linededup.drop_repeated_lines(docs)
+
+
+def near_dedup_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.one_of_each_group(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return _decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences."""
+    return packing.pack(docs, tokens.default_tokenizer())
 
 
-STAGES = [("decontamination", decontamination)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup_groups),
+    ("decontamination", decontamination),
+    ("packing", best_fit_packing),
+]
 
 #: Learned scores, MinHash links and a genetic packing are not SQL; the stages are tested one by one.
 ORACLE_SQL = None
