@@ -79,17 +79,19 @@ def votes(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.expr(f"case when {bad} then 0 when {good} then 1 end").alias(f"vote_{name}") for name, bad, good in RULES])
 
 
-def _log_odds(model: dict) -> Column:
-    """Of a document being good, given its votes; an abstaining rule says nothing."""
-    odds = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for name, right in model["rules"].items():
-        vote = F.col(f"vote_{name}")
-        odds += F.when(vote.isNull(), 0.0).otherwise((2 * vote - 1) * math.log(right / (1 - right)))
-    return odds
+def _votes() -> Column:
+    return F.array(*[F.col(f"vote_{n}") for n in NAMES])
 
 
-def posterior(model: dict) -> Column:
-    return 1 / (1 + F.exp(-_log_odds(model)))
+def posterior(votes_: Column, model: dict) -> Column:
+    """Of a document being good, given the array of its votes; an abstaining rule says nothing.
+
+    The model enters as an array, not as numbers in the plan, so all rounds share their compiled code.
+    """
+    weights = F.lit([math.log(right / (1 - right)) for right in model["rules"].values()])
+    prior = F.lit(math.log(model["good"] / (1 - model["good"])))
+    said = F.zip_with(votes_, weights, lambda v, w: F.coalesce((2 * v - 1) * w, F.lit(0.0)))
+    return 1 / (1 + F.exp(-F.aggregate(said, prior, lambda total, x: total + x)))
 
 
 #: Before the first round: most documents are good, and a rule that votes is right four times in five.
@@ -102,19 +104,18 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> dict:
     Accuracies are smoothed by one vote each way, and none falls under a half: a rule is at least as good as a coin, which
     tells the two classes apart. Without documents START comes back unchanged.
     """
-    patterns = stash(voted.groupBy(*[f"vote_{n}" for n in NAMES]).agg(F.count("*").alias("n")).coalesce(1))
+    patterns = stash(voted.groupBy(_votes().alias("votes")).agg(F.count("*").alias("n")).coalesce(1))
     model = START
     for _ in range(rounds):
-        p = posterior(model)
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
-        for name in NAMES:
-            vote = F.col(f"vote_{name}")
-            sums += [F.sum(F.when(vote == 1, F.col("n") * p).when(vote == 0, F.col("n") * (1 - p))).alias(f"right_{name}"), F.sum(F.when(vote.isNotNull(), F.col("n"))).alias(f"cast_{name}")]
-        got = {k: float(v or 0) for k, v in patterns.agg(*sums).first().asDict().items()}
-        if not got["all"]:
+        p = posterior(F.col("votes"), model)
+        # the share of good documents is counted like a rule that always votes good
+        cast = patterns.select("n", p.alias("p"), F.posexplode(F.array_append("votes", F.lit(1))).alias("rule", "vote")).where("vote is not null")
+        right = F.sum(F.when(F.col("vote") == 1, F.col("n") * F.col("p")).otherwise(F.col("n") * (1 - F.col("p"))))
+        got = {r["rule"]: r for r in cast.groupBy("rule").agg(right.alias("right"), F.sum("n").alias("cast")).collect()}
+        if not got:
             break
-        rules = {n: max(0.5, (got[f"right_{n}"] + 1) / (got[f"cast_{n}"] + 2)) for n in NAMES}
-        model = {"good": (got["good"] + 1) / (got["all"] + 2), "rules": rules}
+        share = lambda i: (got[i]["right"] + 1) / (got[i]["cast"] + 2) if i in got else 0.5
+        model = {"good": share(len(NAMES)), "rules": {n: max(0.5, share(i)) for i, n in enumerate(NAMES)}}
     return model
 
 
@@ -128,5 +129,5 @@ def judge_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     voted = stash(votes(features(docs)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    p = posterior(fit(voted, rounds))
+    p = posterior(_votes(), fit(voted, rounds))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), p.alias("quality"), (~failed & (p >= 0.5)).alias("kept"))
