@@ -8,8 +8,10 @@ make two sets at similarity 0.8 meet in a band except with probability (1 - 0.8^
 Equal sets are first reduced to their smallest doc_id. In a band's bucket no pairs are made: each member is
 compared with the bucket's centre only, first with the centre that it shares most bands with, then with the others
 if it isn't in their component yet. Buckets of three or more documents that still hold several components may hide
-links between members; their documents go through a prefix-filtered join (a pair with similarity s must share
-one of the first n - ceil(s * n) + 1 shingles, rarest first), which finds all of them. All links are confirmed on the full sets.
+links between members; there each is compared with the bucket's most typical document, and what is still apart goes
+through a prefix-filtered join (a pair with similarity s must share one of the first n - ceil(s * n) + 1 shingles,
+rarest first, and what follows the first common one must be enough), which finds all of them. All links are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -116,25 +118,57 @@ def _labelled(rows: DataFrame, groups: DataFrame, column: str, name: str) -> Dat
     return rows.join(found, column, "left").withColumn(name, F.coalesce("_found", column)).drop("_found")
 
 
-def _hidden_pairs(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that could be linked, among documents of buckets that are not settled."""
+def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, doc_id and label (component) in buckets of three or more documents that hold several components."""
     marked = _labelled(members.where("n > 2").select("bucket", "doc_id"), groups, "doc_id", "label")
-    open_ = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rows = stash(marked.join(open_, "bucket", "left_semi").select("doc_id", "label").distinct())
+    several = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return stash(marked.join(several, "bucket", "left_semi"))
+
+
+def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, shingle, size, place: each document's prefix in the order of rareness, without what no other one holds."""
 
     def spread(batches):
         for batch in batches:
-            for doc, label, x in zip(batch.column("doc_id"), batch.column("label"), batch.column("shingles")):
+            for doc, x in zip(batch.column("doc_id"), batch.column("shingles")):
                 own = np.frombuffer(x.as_buffer(), dtype=np.int64)
-                yield pa.record_batch([pa.repeat(doc, len(own)), pa.repeat(label, len(own)), pa.array(own), pa.repeat(pa.scalar(len(own), pa.int32()), len(own))], names=["doc_id", "label", "shingle", "size"])
+                yield pa.record_batch([pa.repeat(doc, len(own)), pa.array(own), pa.repeat(pa.scalar(len(own), pa.int32()), len(own))], names=["doc_id", "shingle", "size"])
 
-    each = rows.join(sets, "doc_id").mapInArrow(spread, "doc_id long, label long, shingle long, size int")
+    each = docs.join(sets, "doc_id").mapInArrow(spread, "doc_id long, shingle long, size int")
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle")))
     prefix = ranked.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("often") > 1))
-    prefix = stash(prefix.select("doc_id", "label", "shingle", "size"))
-    a, b = (prefix.select(F.col("doc_id").alias(x), F.col("label").alias(f"label_{x}"), "shingle", F.col("size").alias(f"size_{x}")) for x in "uv")
-    return a.join(b, "shingle").where(f"u < v and label_u <> label_v and 100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)").select("u", "v").distinct()
+    return stash(prefix.select("doc_id", "shingle", "size", "place"))
+
+
+def _can_link(percent: int) -> str:
+    """What two sets hold from their first common shingle on (place_u, place_v or later) must be enough."""
+    rest = "(least(size_u - place_u, size_v - place_v) + 1)"
+    return f"100 * {rest} >= {percent} * (size_u + size_v - {rest})"
+
+
+def _typical_pairs(unsettled: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Each document with its bucket's most typical one, that with the fewest shingles that no other document holds."""
+    first = prefix.groupBy("doc_id").agg(F.min("place").alias("place"), F.max("size").alias("size"))
+    rows = stash(unsettled.join(first, "doc_id"))
+    centre = rows.groupBy("bucket").agg(F.min(F.struct((F.col("place") / F.col("size")).alias("lone"), "doc_id", "label", "place", "size")).alias("c"))
+    centre = centre.select("bucket", F.col("c.doc_id").alias("u"), F.col("c.label").alias("label_u"), F.col("c.place").alias("place_u"), F.col("c.size").alias("size_u"))
+    rows = rows.select("bucket", F.col("doc_id").alias("v"), "label", F.col("place").alias("place_v"), F.col("size").alias("size_v"))
+    return rows.join(centre, "bucket").where(f"label <> label_u and {_can_link(percent)}").select("u", "v").distinct()
+
+
+def _hidden_pairs(unsettled: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that could be linked, by a prefix-filtered join.
+
+    The smaller set of a pair needs its common shingle in a prefix of n - ceil(2s / (1 + s) * n) + 1 only.
+    """
+    labels = unsettled.select("doc_id", "label").distinct()
+    short = f"place <= size - ceil(size * {2 * percent} / {100 + percent}) + 1"
+    rows = stash(prefix.join(labels, "doc_id").withColumn("short", F.expr(short)))
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{'id' if c == 'doc_id' else c}_{x}") for c in ("doc_id", "label", "size", "place", "short")]) for x in "uv")
+    order = "(size_u < size_v or size_u = size_v and id_u < id_v) and short_u and label_u <> label_v"
+    pairs = a.join(b, "shingle").where(f"{order} and 100 * size_u >= {percent} * size_v and {_can_link(percent)}")
+    return pairs.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -169,7 +203,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = links.unionAll(_linked(rest, sets, percent))
     groups = components(links)
 
-    links = links.unionAll(_linked(_hidden_pairs(members, groups, sets, percent), sets, percent))
+    unsettled = _unsettled(members, groups)
+    prefix = _prefixes(unsettled.select("doc_id").distinct(), sets, percent)
+    links = links.unionAll(_linked(_typical_pairs(unsettled, prefix, percent), sets, percent))
+    groups = components(links)
+    links = links.unionAll(_linked(_hidden_pairs(_unsettled(members, groups), prefix, percent), sets, percent))
     edges = links.unionAll(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     groups = components(edges)
     out = _labelled(signed.select("doc_id", "n_shingles"), groups, "doc_id", "component_id")
