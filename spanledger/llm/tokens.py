@@ -25,7 +25,7 @@ WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 #: Tokens of a block of the file, about.
 BLOCK_TOKENS = 1 << 21
 #: Pieces of text whose ids a worker remembers; then it starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 
 
 def default_tokenizer() -> str:
