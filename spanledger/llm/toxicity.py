@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, slices, span_hashes, utf8
 
-SAMPLE, MIN_DOCS, ROUNDS, RATE, PENALTY = 12_000, 5, 250, 0.1, 0.3
+SAMPLE, MIN_DOCS, ROUNDS, RATE, PENALTY = 6_000, 5, 250, 0.1, 0.3
 THRESHOLD = 0.5
 
 _WORD = np.zeros(256, dtype=bool)
@@ -84,37 +84,42 @@ def _log_clean(z: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, z)
 
 
-def train(bags: list[tuple[int, list[np.ndarray]]], min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> Model:
-    """Fit on (label, distinct word hashes of each sentence) by proximal Adam; without both labels the model is silent."""
-    bags = [b for b in bags if b[1]]
-    labels = np.array([y for y, _ in bags], dtype=np.float64)
+def train(labels: np.ndarray, docs: np.ndarray, sentences: np.ndarray, flat: np.ndarray, weights: np.ndarray | None = None, min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> Model:
+    """Fit by proximal Adam; without both labels the model is silent.
+
+    flat holds the word hashes, distinct within a sentence; sentence i has flat[sentences[i]:sentences[i + 1]], document
+    d the sentences from docs[d] to docs[d + 1], at least one. Weights make up for how the documents were chosen.
+    """
+    labels = labels.astype(np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -30.0 if not len(labels) or not labels.max() else 30.0)
-    per_doc = [np.unique(np.concatenate(s)) for _, s in bags]
-    words, often = np.unique(np.concatenate(per_doc), return_counts=True)
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(docs))
+    sentence = np.repeat(np.arange(len(doc), dtype=np.int32), np.diff(sentences))
+    order = np.lexsort((doc[sentence], flat))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(flat[order].view(np.int64)) != 0) | (np.diff(doc[sentence[order]]) != 0)
+    words, often = np.unique(flat[order[new]], return_counts=True)
     words = words[often >= min_docs]
-    flat = np.concatenate([w for _, s in bags for w in s])
-    sentence = np.repeat(np.arange(sum(len(s) for _, s in bags)), [len(w) for _, s in bags for w in s])
-    place = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+    del order, new
+    place = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1)).astype(np.int32)
     known = words[place] == flat if len(words) else np.zeros(len(flat), dtype=bool)
     place, sentence = place[known], sentence[known]
-    n_sentences = np.array([len(s) for _, s in bags])
-    doc = np.repeat(np.arange(len(bags)), n_sentences)
-    edges = np.concatenate(([0], np.cumsum(n_sentences)[:-1]))
+    share = np.ones(len(labels)) if weights is None else weights
+    share = (share / share.sum())[doc]
     w, bias = np.zeros(len(words)), -5.0
     m, v, mb, vb = np.zeros(len(words)), np.zeros(len(words)), 0.0, 0.0
     y = labels[doc]
     for t in range(1, rounds + 1):
         z = bias + np.bincount(sentence, weights=w[place], minlength=len(doc))
-        clean = np.add.reduceat(_log_clean(z), edges)  # log probability that no sentence is toxic
+        clean = np.add.reduceat(_log_clean(z), docs[:-1])  # log probability that no sentence is toxic
         toxic = -np.expm1(np.minimum(clean, -1e-12))
         p = 1 / (1 + np.exp(-z))
-        g = np.where(y > 0, -p * (np.exp(clean) / toxic)[doc], p) / len(bags)
+        g = np.where(y > 0, -p * (np.exp(clean) / toxic)[doc], p) * share
         gw, gb = np.bincount(place, weights=g[sentence], minlength=len(words)), g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         scale = RATE / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         w -= scale * m / (1 - 0.9**t)
-        w = np.sign(w) * np.maximum(0, np.abs(w) - scale * PENALTY / len(bags))
+        w = np.sign(w) * np.maximum(0, np.abs(w) - scale * PENALTY / len(labels))
         bias -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
     used = np.abs(w) > 1e-3
     return Model(words[used], w[used], float(bias))
@@ -128,24 +133,36 @@ def held_out(doc_id) -> F.Column:
 def _bags(batches):
     for part in slices(batches):
         s = Sentences(part.column("text"))
-        out = []
-        for r in range(part.num_rows):
-            out.append([np.unique(s.word[s.bounds[i] : s.bounds[i + 1]]).tobytes() for i in range(s.row_bounds[r], s.row_bounds[r + 1])])
-        yield pa.record_batch([part.column("toxic"), pa.array(out, pa.list_(pa.binary()))], names=["toxic", "sentences"])
+        out = [[np.unique(s.word[s.bounds[i] : s.bounds[i + 1]]).tobytes() for i in range(s.row_bounds[r], s.row_bounds[r + 1])] for r in range(part.num_rows)]
+        made = pa.record_batch([part.column("doc_id"), part.column("toxic"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "toxic", "sentences"])
+        yield made.filter(pa.array([bool(x) for x in out], pa.bool_()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` rows of labels(doc_id, toxic) that are not held out, and their documents' texts.
 
-    Rows with nulls are left out, of repeated labels of a document the largest counts.
+    Half of the sample is for each label, chosen by a hash of doc_id; weights restore the labels' shares. Rows
+    with nulls are left out, of repeated labels of a document the largest counts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = id_text(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    table = texts.mapInArrow(_bags, "toxic int, sentences array<binary>").toArrow()
-    bags = [(y, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in s.values]) for y, s in zip(table.column(0).to_pylist(), table.column(1))]
-    bags.sort(key=lambda b: (b[0], len(b[1]), b"".join(x.tobytes() for x in b[1][:1])))  # the same order whatever the partitions
-    return train(bags)
+    known = known.where(~held_out(F.col("doc_id")))
+    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (0, 1)]
+    texts = id_text(docs).where("text is not null").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("doc_id", "toxic", "text")
+    bags = texts.mapInArrow(_bags, "doc_id long, toxic int, sentences array<binary>")
+    table = bags.orderBy("doc_id", F.xxhash64("sentences")).toArrow()  # the same order whatever the partitions
+    if not table.num_rows:
+        return train(np.zeros(0), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+    lists = table.column("sentences").combine_chunks()
+    values = lists.flatten()
+    _, offsets, data = values.buffers()
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    at = np.frombuffer(offsets, dtype=kind)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(np.uint64)
+    n = np.concatenate(([0], np.cumsum([len(x) if x is not None else 0 for x in lists])))
+    y = table.column("toxic").to_numpy()
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weights = np.array([total.get(int(v), 1) / max(1, int((y == v).sum())) for v in y.tolist()])
+    return train(y, n, (at - at[0]) // 8, flat, weights)
 
 
 def _measure(sentences: Sentences, model: Model, n_rows: int):
