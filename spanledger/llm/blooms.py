@@ -59,7 +59,7 @@ def _hashes(hashed: Callable, segments: int):
     """Distinct hashes of each batch by segment; `often` are those found in two rows already."""
 
     def run(batches):
-        for part in gathered(batches):
+        for part in gathered(batches, limit=12 << 20):
             found = []
             for piece in slices([part]):
                 h, rows = hashed(piece.column("text"))

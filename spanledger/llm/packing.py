@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def encode(batches):
         use = encoder(tokenizer)
-        for part in gathered(batches, limit=8 << 20):
+        for part in gathered(batches, limit=2 << 20):
             ids, bounds = with_end(*use(part.column("text")), end)
             little = ids.astype("<u4")
             rows = [(r, k, s, n, zlib.crc32(little[a + s : a + s + n])) for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for k, (s, n) in enumerate(cut(b - a, capacity))]

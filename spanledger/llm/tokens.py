@@ -8,6 +8,7 @@ data bytes have each rank's low-order bytes, low byte first. A second folder map
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 #: Tokens of a block of the file, about.
 BLOCK_TOKENS = 1 << 21
 #: Pieces of text whose ids a worker remembers; then it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 
 
 def default_tokenizer() -> str:
@@ -85,6 +86,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -177,7 +179,7 @@ _FILE = "shard int, first long, n_docs int, n_tokens long, doc_ids binary, prese
 def _blocks(path: str, end: int):
     def encode(batches) -> Iterator[pa.RecordBatch]:
         use, first = encoder(path), 0
-        for part in gathered(batches, limit=8 << 20):
+        for part in gathered(batches, limit=2 << 20):
             ids, bounds = with_end(*use(part.column("text")), end)
             shard, doc = part.column("shard")[0].as_py(), part.column("doc_id")
             a = 0
