@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -143,6 +144,14 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; Python workers live on from task to task and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Cut record batches into runs of rows with about so many bytes of text; one long text is a run of its own."""
     for batch in batches:
@@ -154,6 +163,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def gathered(batches, column: str = "text", limit: int = 24 << 20):
@@ -167,3 +177,4 @@ def gathered(batches, column: str = "text", limit: int = 24 << 20):
             kept, size = [], 0
     if kept and sum(b.num_rows for b in kept):
         yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+    give_back()
