@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, id_text, stash
+from .common import id_text, slices, stash
 from .tokens import encoder, with_end
 
 CAPACITY, END = 1024, 2
@@ -39,13 +39,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def encode(batches):
         use = encoder(tokenizer)
-        for part in gathered(batches, limit=2 << 20):
+        for part in slices(batches, limit=4 << 20):
             ids, bounds = with_end(*use(part.column("text")), end)
             little = ids.astype("<u4")
             rows = [(r, k, s, n, zlib.crc32(little[a + s : a + s + n])) for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for k, (s, n) in enumerate(cut(b - a, capacity))]
             row, k, s, n, crc = zip(*rows)
             yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=[x.split()[0] for x in _PIECES.split(", ")])
-        use.forget()
 
     return id_text(docs).mapInArrow(encode, _PIECES)
 

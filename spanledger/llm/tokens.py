@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, give_back, id_text, stash
+from .common import id_text, slices, stash
 
 #: Fixed value: white space as the tokenizer's pattern sees it.
 WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -97,11 +97,6 @@ class Encoder:
         opens[[i for token, i in vocabulary.items() if token[:1] == "Ġ"]] = True
         self.inner, self.first = _Memory(self.tokenizer, " ", opens), _Memory(self.tokenizer, "", opens)
 
-    def forget(self) -> None:
-        self.inner.clear()
-        self.first.clear()
-        give_back()
-
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other and the bounds of each text (null: empty)."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -139,7 +134,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker; its memory of pieces serves one task."""
+    """One per Python worker, so that its memory serves all its tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -184,7 +179,7 @@ _FILE = "shard int, first long, n_docs int, n_tokens long, doc_ids binary, prese
 def _blocks(path: str, end: int):
     def encode(batches) -> Iterator[pa.RecordBatch]:
         use, first = encoder(path), 0
-        for part in gathered(batches, limit=2 << 20):
+        for part in slices(batches, limit=4 << 20):
             ids, bounds = with_end(*use(part.column("text")), end)
             shard, doc = part.column("shard")[0].as_py(), part.column("doc_id")
             a = 0
@@ -195,7 +190,6 @@ def _blocks(path: str, end: int):
                 yield pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["shard", "first", "n_docs", "n_tokens", "doc_ids", "present", "counts", "ids"])
                 first += len(own)
                 a = b
-        use.forget()
 
     return encode
 
