@@ -26,7 +26,7 @@ WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 #: Tokens of a block of the file, about.
 BLOCK_TOKENS = 1 << 21
 #: Pieces of text whose ids a worker remembers; then it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 
 
 def default_tokenizer() -> str:
@@ -44,17 +44,24 @@ class _Memory:
         self.pieces: list[pa.Array] = []
         self.n, self.ids, self.ends = 0, [], [np.zeros(1, dtype=np.int64)]
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each piece's number of ids. Pieces with a space in front are encoded sixteen at a time."""
-        texts = [self.prefix + p for p in pieces]
         if self.prefix == " ":
-            joined = self.tokenizer.encode_batch_fast(["".join(texts[i : i + 16]) for i in range(0, len(texts), 16)], add_special_tokens=False)
-            flat = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in joined])
+            groups = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), 16), len(pieces)], pa.int32()), pieces)
+            flat = self._ids([" " + x for x in pc.binary_join(groups, pa.scalar(" ", pieces.type)).to_pylist()])[0]
             first = np.flatnonzero(self.opens[flat])
-            if len(first) == len(texts) and first[0] == 0:
+            if len(first) == len(pieces) and first[0] == 0:
                 return flat, np.diff(np.append(first, len(flat)))
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.array(x, dtype=np.uint32) for x in each]), np.array([len(x) for x in each], dtype=np.int64)
+        return self._ids([self.prefix + x for x in pieces.to_pylist()])
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and each text's number of ids; the tokenizer's own results are large, so only some live at a time."""
+        ids, n = [], []
+        for i in range(0, len(texts), 1024):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
+            ids.append(np.array([x for own in each for x in own], dtype=np.uint32))
+            n += map(len, each)
+        return np.concatenate(ids), np.array(n, dtype=np.int64)
 
     def look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids of the memory, first, count of each piece)."""
@@ -66,7 +73,7 @@ class _Memory:
         new = pieces.filter(pc.is_null(at))
         at = at.to_numpy(zero_copy_only=False).astype(np.float64)
         if len(new):
-            flat, n = self._encode(new.to_pylist())
+            flat, n = self._encode(new)
             at[np.isnan(at)] = self.n + np.arange(len(new))
             self.pieces.append(new)
             self.n += len(new)
