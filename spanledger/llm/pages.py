@@ -48,6 +48,8 @@ class LineParser(HTMLParser):
         self.landmarks: set[int] = set()
         self._open: list[tuple[str, bool, int]] = []  # tag, noise, region
         self._text: list[str] = []
+        self._where = 0  # region of the text
+        self._aside = False  # whether noise text was met since the last line
         self._tags = 0
         self._regions = 0
 
@@ -56,12 +58,16 @@ class LineParser(HTMLParser):
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
-        self._text = []
-        if text:
-            noise, region = self._state()
-            self.lines.append((text, self._tags, region, noise))
+        aside, self._text, self._aside = self._aside, [], False
+        if text or aside:  # noise lines only count for their place in the page
+            self.lines.append((text, self._tags, self._where if text else self._state()[1], not text))
             self._tags = 0
 
+    def _break(self, noise: bool) -> None:
+        """A block begins or ends; one inside an inline noise element doesn't part the article's text around that."""
+        if not noise or not any(map(str.strip, self._text)):
+            self._flush()
+
     def _noisy(self, tag: str, attrs: dict) -> bool:
         if tag in ("html", "body", *LANDMARKS):
             return False
@@ -74,7 +80,7 @@ class LineParser(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
-            self._flush()
+            self._break(self._state()[0] and tag not in LANDMARKS)
         self._tags += 1
         if tag in VOID:
             if tag == "br":
@@ -115,7 +121,7 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
-            self._flush()
+            self._break(next((noise for name, noise, _ in reversed(self._open) if name == tag), False))
         self._tags += 1
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
@@ -125,12 +131,15 @@ class LineParser(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self._state()[0]:
-            # noise lines only count for their place in the page
-            if data.strip():
-                self._text.append(data[:200])
-            return
-        self._text.append(data)
+        noise, region = self._state()
+        if not data or data.isspace():
+            if not noise:
+                self._text.append(data)
+        elif noise:
+            self._aside = True
+        else:
+            self._text.append(data)
+            self._where = region
 
     def close(self) -> None:
         super().close()
