@@ -22,10 +22,13 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(WHITE_SPACE)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(20240607)
-_BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_rng = np.random.default_rng(20240607)
+#: Two primes below 2^31.
+_PRIMES = (2147483629, 2147483587)
+_BASES = tuple(int(x) for x in _rng.integers(1 << 20, min(_PRIMES), 2))
+_powers: dict[int, np.ndarray] = {}
+_made: list[str] = []  # folders written by this driver
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,31 +42,41 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stash(df: DataFrame, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder stays, since plans made of it may run at any later time; `clear` removes all of a session's.
+    """
     path = shared_folder(df.sparkSession)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove the folders that this session's stash() calls wrote; what was made of them can't be read any more."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only doc_id and text (and the columns asked for), so that no other column of the input can clash."""
     return docs.select(F.col("doc_id").cast(LongType()), F.col("text").cast(StringType()), *more)
 
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """BASE^i (or its inverse's powers) modulo 2^64 for i < n."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 2**64)
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            have = _powers[kind] = np.multiply.accumulate(steps)
+def _power(base: int, prime: int, n: int) -> np.ndarray:
+    """base^i modulo the prime for i < n."""
+    have = _powers.get(base, np.ones(1, dtype=np.uint64))
+    while len(have) < n:
+        have = np.concatenate((have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)))
+    _powers[base] = have
     return have[:n]
 
 
@@ -78,15 +91,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each span, A-Z lower-cased if asked for."""
-    n = len(data)
+    """64-bit hashes of data[start:end] for each span, A-Z lower-cased if asked for.
+
+    Two polynomials modulo primes, as those modulo a power of two are equal for long texts that are easy to name.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if lower:
+        data = _LOWER[data]
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[_LOWER[data] if lower else data] * _power("up", n), out=total[1:])
-        value = (total[ends] - total[starts]) * _power("down", n + 1)[starts]
-        return mix64(value + (ends - starts).astype(np.uint64))
+        out = (ends - starts).astype(np.uint64) * np.uint64(_BASE)
+        value = data.astype(np.uint64) + np.uint64(1)
+        for k, (prime, base) in enumerate(zip(_PRIMES, _BASES)):
+            p = np.uint64(prime)
+            terms = value * _power(base, prime, len(data))
+            if len(data) >= 1 << 23:  # the sum of terms below 2^40 would not fit in 64 bits
+                terms %= p
+            total = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(terms, out=total[1:])
+            down = _power(pow(base, -1, prime), prime, len(data) + 1)
+            out ^= (total[ends] - total[starts]) % p * down[starts] % p << np.uint64(32 * k)
+        return mix64(out)
 
 
 class Words:
@@ -125,6 +150,21 @@ class Words:
                 out[: n - j] += self.hash[j:] * np.uint64(pow(_BASE, j + 1, 2**64))
         return mix64(out), self.left() >= k
 
+    def long_windows(self, k: int) -> np.ndarray:
+        """A hash of the k words that start at each word, whatever row they are in, in one pass for any k."""
+        n = len(self.hash)
+        out = np.zeros(n, dtype=np.uint64)
+        if n < k:
+            return out
+        up = np.full(n + 1, _BASE, dtype=np.uint64)
+        down = np.full(n + 1, pow(_BASE, -1, 2**64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(self.hash * np.multiply.accumulate(up)[:n], out=total[1:])
+            out[: n - k + 1] = (total[k:] - total[: n - k + 1]) * np.multiply.accumulate(down)[: n - k + 1]
+            return mix64(out ^ np.uint64(k))
+
 
 def sequence_hash(word_hashes: np.ndarray) -> np.uint64:
     """Hash of a whole word sequence, equal to Words.shingles(len) of it."""
