@@ -6,7 +6,9 @@ The second pass tests every line against the suspects: only suspected lines shuf
 which are counted exactly and get their first document. The third pass drops the other lines.
 
 The suspects reach the tasks as a Bloom filter and the confirmed keys as hashes with their first doc_id
-while each is under BROADCAST_BYTES, by count; beyond that the same two steps are joins.
+while each is under BROADCAST_BYTES, by count; beyond that the same two steps are joins. Every line with a confirmed
+key's hash has been compared by its key before, so the few hashes that two keys share are known; lines with
+one of these are told apart by the keys themselves.
 """
 
 from __future__ import annotations
@@ -18,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import BROADCAST_BYTES, as_filter, first_of_each, repeated_hashes
+from .blooms import BROADCAST_BYTES, as_filter, repeated_hashes
 from .common import _IS_SPACE, id_text, slices, span_hashes, stash, utf8
 
 MIN_CHARS = 10
+#: Bits of a line's hash; fewer only make the tests meet hashes that keys share.
+BITS = 64
+#: Column that brings a document's hashes to drop where they are joined.
+DROPPED = "_hashes_of_dropped_lines"
 
 
 class Lines:
     """The lines of some texts: row, byte span, key span, key hash and whether the key is long enough."""
 
-    def __init__(self, texts: pa.Array, min_chars: int):
+    def __init__(self, texts: pa.Array, min_chars: int, bits: int = 64):
         self.data, self.offsets = data, offsets = utf8(texts)
         n = len(data)
         breaks = np.flatnonzero(data == 10)
@@ -49,7 +55,7 @@ class Lines:
         self.key_start[some], self.key_end[some] = solid[lo[some]], solid[hi[some] - 1] + 1
         points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))) if n else np.zeros(1, dtype=np.int64)
         self.long = points[self.key_end] - points[self.key_start] >= min_chars
-        self.hash = span_hashes(data, self.key_start, self.key_end)
+        self.hash = span_hashes(data, self.key_start, self.key_end) >> np.uint64(64 - bits)
 
     def key(self, i: int) -> str:
         return self.data[self.key_start[i] : self.key_end[i]].tobytes().lower().decode()
@@ -58,70 +64,90 @@ class Lines:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def _hashed(min_chars: int):
+def _hashed(min_chars: int, bits: int):
     def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lines = Lines(texts, min_chars)
+        lines = Lines(texts, min_chars, bits)
         return lines.hash[lines.long], lines.rows[lines.long]
 
     return run
 
 
-def _keys(test, min_chars: int):
+def _keys(test, min_chars: int, bits: int):
     """doc_id, hash and key of the lines that may be repeats, each key once a row."""
 
     def run(batches):
         for part in slices(batches):
-            lines = Lines(part.column("text"), min_chars)
+            lines = Lines(part.column("text"), min_chars, bits)
             maybe = np.flatnonzero(lines.long)
             if test is not None:
                 maybe = maybe[test.value.has(lines.hash[maybe])]
-            if len(maybe):
-                maybe = maybe[first_of_each(lines.hash[maybe], lines.rows[maybe])]
-                yield pa.record_batch([part.column("doc_id").take(pa.array(lines.rows[maybe])), pa.array(lines.hash[maybe].view(np.int64)), pa.array([lines.key(i) for i in maybe], pa.string())], names=["doc_id", "hash", "key"])
+            each = dict.fromkeys(zip(lines.rows[maybe].tolist(), lines.hash[maybe].view(np.int64).tolist(), map(lines.key, maybe)))
+            if each:
+                rows, h, keys = zip(*each)
+                yield pa.record_batch([part.column("doc_id").take(pa.array(rows)), pa.array(h), pa.array(keys, pa.string())], names=["doc_id", "hash", "key"])
 
     return run
 
 
-def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int):
+def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int, bits: int):
     """(rows to read, function from a record batch and its lines to the mask of lines that stay)."""
     spark = docs.sparkSession
     texts = id_text(docs)
-    suspects = repeated_hashes(texts, _hashed(min_chars))
+    suspects = repeated_hashes(texts, _hashed(min_chars, bits))
     test = as_filter(suspects, broadcast_bytes)
-    keys = texts.mapInArrow(_keys(test, min_chars), "doc_id long, hash long, key string")
+    keys = texts.mapInArrow(_keys(test, min_chars, bits), "doc_id long, hash long, key string")
     if test is None:
         keys = keys.join(suspects, "hash", "left_semi")
     keys = keys.where("doc_id is not null")
-    ranked = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("hash").alias("hash")).where("first <> last")
-    confirmed = stash(ranked.select("key", "hash", "first"))
-    m = confirmed.count()
-    if m * 16 <= broadcast_bytes:
+    each = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("hash").alias("hash"))
+    by_hash = each.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or(F.col("first") < F.col("last")).alias("hit"), F.min("key").alias("key"), F.min("first").alias("first"))
+    by_hash = stash(by_hash.where("hit").select("hash", "n", "key", "first"))
+    confirmed = by_hash.where("n = 1")
+    # keys that share a hash: none is to be expected among 2^64
+    shared = stash(each.join(by_hash.where("n > 1").select("hash"), "hash", "left_semi").where("first < last").select("hash", "key", "first")) if not by_hash.where("n > 1").isEmpty() else None
+    by_key = {r["key"]: r["first"] for r in shared.toLocalIterator()} if shared else {}
+    clashing = np.array(sorted({r["hash"] for r in shared.select("hash").toLocalIterator()}) if shared else [], dtype=np.int64).view(np.uint64)
+
+    def ids(part, lines):
+        """doc_id of each line, and whether there is one."""
+        doc = part.column("doc_id").cast(pa.int64())
+        return doc.fill_null(0).to_numpy()[lines.rows], doc.is_valid().to_numpy(zero_copy_only=False)[lines.rows]
+
+    def told_apart(out, part, lines):
+        if len(clashing):
+            own, known = ids(part, lines)
+            for i in np.flatnonzero(lines.long & known & np.isin(lines.hash, clashing)):
+                out[i] &= by_key.get(lines.key(i), own[i]) == own[i]
+        return out
+
+    if confirmed.count() * 16 <= broadcast_bytes:
         table = confirmed.select("hash", "first").toArrow()
         h, first = table.column("hash").to_numpy().view(np.uint64), table.column("first").to_numpy()
         order = np.argsort(h)
-        shared = spark.sparkContext.broadcast((h[order], first[order]))
+        sent = spark.sparkContext.broadcast((h[order], first[order]))
 
         def stays(part, lines):
-            h, first = shared.value
+            h, first = sent.value
             out = np.ones(len(lines.rows), dtype=bool)
             if len(h):
                 at = np.minimum(np.searchsorted(h, lines.hash), len(h) - 1)
-                doc = part.column("doc_id").cast(pa.int64())
-                known = doc.is_valid().to_numpy(zero_copy_only=False)[lines.rows]
-                own = doc.fill_null(0).to_numpy()[lines.rows]
+                own, known = ids(part, lines)
                 out = ~(lines.long & (h[at] == lines.hash) & (first[at] != own) & known)
-            return out
+            return told_apart(out, part, lines)
 
         return docs, stays
-    drops = keys.join(confirmed.select("key", "first"), "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("hash").alias("_dropped_hashes"))
+    drops = keys.join(confirmed.select("key", "first"), "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("hash").alias(DROPPED))
+    given = [c for c in docs.columns if c.lower() != DROPPED.lower()]
+    if len(given) < len(docs.columns):
+        raise ValueError(f"rename the column {DROPPED}")
 
     def stays_joined(part, lines):
         out = np.ones(len(lines.rows), dtype=bool)
-        for r, gone in enumerate(part.column("_dropped_hashes").to_pylist()):
+        for r, gone in enumerate(part.column(DROPPED).to_pylist()):
             if gone:
                 own = slice(lines.bounds[r], lines.bounds[r + 1])
                 out[own] = ~(lines.long[own] & np.isin(lines.hash[own].view(np.int64), np.array(gone, dtype=np.int64)))
-        return out
+        return told_apart(out, part, lines)
 
     return docs.join(drops, "doc_id", "left"), stays_joined
 
@@ -131,7 +157,7 @@ def _kept_text(lines: Lines, stays: np.ndarray, r: int) -> bytes:
     return b"\n".join(lines.line(i) for i in own if stays[i])
 
 
-def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS) -> DataFrame:
     """What line dedup leaves of each row of docs(doc_id, text): doc_id, n_lines, n_dropped, kept_sha256.
 
     Lines end at \\n; a key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at
@@ -139,11 +165,11 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: i
     A null or empty text is one empty line. Rows with a null doc_id keep all lines and count for none; rows with one
     doc_id are one document. Other columns are ignored; an empty table gives no rows.
     """
-    rows, stays = _removal(id_text(docs), min_chars, broadcast_bytes)
+    rows, stays = _removal(id_text(docs), min_chars, broadcast_bytes, bits)
 
     def digest(batches):
         for part in slices(batches):
-            lines = Lines(part.column("text"), min_chars)
+            lines = Lines(part.column("text"), min_chars, bits)
             mask = stays(part, lines)
             dropped = np.bincount(lines.rows[~mask], minlength=part.num_rows)
             whole = [_kept_text(lines, mask, r) if dropped[r] else lines.data[lines.offsets[r] : lines.offsets[r + 1]].tobytes() for r in range(part.num_rows)]
@@ -152,14 +178,19 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: i
     return rows.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with the text that line dedup leaves; n_chars, where there is such a column, follows. A text that loses nothing stays as it is."""
-    rows, stays = _removal(docs, min_chars, broadcast_bytes)
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS) -> DataFrame:
+    """docs with the text that line dedup leaves; n_chars, where there is such a column, follows.
+
+    Keys, nulls, ties and repeated rows as for line_digests(): a null or empty text and a row with a null doc_id stay as
+    they are, repeated rows lose the same lines. A text that loses all its lines is empty; the row stays. All columns
+    stay, in their order; a column named DROPPED is refused where it would clash. An empty table gives no rows.
+    """
+    rows, stays = _removal(docs, min_chars, broadcast_bytes, bits)
     schema = docs.schema
 
     def rewrite(batches):
         for part in slices(batches):
-            lines = Lines(part.column("text"), min_chars)
+            lines = Lines(part.column("text"), min_chars, bits)
             mask = stays(part, lines)
             dropped = np.bincount(lines.rows[~mask], minlength=part.num_rows)
             columns = {f.name: part.column(f.name) for f in part.schema if f.name in schema.names}

@@ -47,13 +47,20 @@ def test_line_dedup_against_brute_force(docs, empty):
     for i, t in rows:
         kept = [x for x in t.split("\n") if not (i is not None and len(holders.get(key(x), ())) > 1 and i != min(holders[key(x)]))]
         want.append((str(i), len(t.split("\n")), len(t.split("\n")) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    for limit in (1 << 20, 0):  # by broadcast and by joins
-        got = [(str(r[0]), *r[1:]) for r in linededup.line_digests(docs, broadcast_bytes=limit).collect()]
+    for limit, bits in ((1 << 20, 64), (0, 64), (1 << 20, 1), (0, 1)):  # by broadcast and by joins, without and with hashes that keys share
+        got = [(str(r[0]), *r[1:]) for r in linededup.line_digests(docs, broadcast_bytes=limit, bits=bits).collect()]
         assert sorted(got) == sorted(want)
     assert linededup.line_digests(empty).count() == 0
     assert linededup.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_long_lines_that_collide_modulo_powers_of_two_are_told_apart(spark):
+    made = lambda n, flip: "".join("ab"[i.bit_count() % 2 ^ flip] for i in range(n))
+    docs = spark.createDataFrame([(1, "\n".join(made(n, 0) for n in (1024, 2048, 4096))), (2, made(2048, 0)), (3, "\n".join(made(n, 1) for n in (1024, 2048, 4096)))], "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        assert {r["doc_id"]: r["n_dropped"] for r in linededup.line_digests(docs, broadcast_bytes=limit).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_near_duplicates_against_brute_force(docs, empty):
     sets = {}
     for r in docs.collect():
