@@ -5,12 +5,15 @@ pieces are sequences by themselves. The others are dealt by a hash of their row
 SHARD pieces; a shard is one bin-packing problem, bounded in size whatever the input. Each shard has
 ISLANDS populations in different rows (and so in different tasks). A generation crosses two solutions: the
 best-filled bins of one are injected whole into the other, bins of the receiver that hold a document
-twice are emptied, and the displaced pieces go back by best fit, largest first. After each epoch every
-island sends its best solution to the next one.
+twice are emptied, and the displaced pieces go back by best fit, largest first. Then the bins that
+have room are filled anew, together with some full ones, each with the pieces that fill it best, and replace the old ones
+where they are fewer. After each epoch every island sends its best solution to the next one. A solution with as few
+bins as the sizes allow ends the search.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -22,7 +25,9 @@ from .common import id_text, slices, stash
 from .tokens import encoder, with_end
 
 CAPACITY, END = 1024, 2
-SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 2, 4, 8
+SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 16384, 3, 2, 4, 8
+#: Bins that are filled anew at a time, about, and how often this is tried on a solution.
+MIXED, TRIES = 512, 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, sequence_id long, offset long"
@@ -114,6 +119,51 @@ def cross(sizes, giver, taker, capacity: int, rng) -> tuple[list[list[int]], lis
     return out, left
 
 
+def fullest(below: list[int], capacity: int) -> list[int]:
+    """Of pieces with sizes -below, largest first: the places of the first and of those that fill a bin best with it, the last one first.
+
+    Larger ones are preferred to smaller ones.
+    """
+    room = capacity + below[0]
+    sums, reach, limit = [1], 1, (1 << room + 1) - 1
+    first = max(1, bisect.bisect_left(below, -room))
+    for k in range(first, len(below)):
+        if reach >> room:
+            break
+        reach |= reach << -below[k] & limit
+        sums.append(reach)
+    left, out = reach.bit_length() - 1, []
+    for k in range(len(sums) - 1, 0, -1):
+        if not sums[k - 1] >> left & 1:
+            out.append(first + k - 1)
+            left += below[first + k - 1]
+    return [*out, 0]
+
+
+def relieve(sizes: list[int], solution: tuple[list[list[int]], list[int]], capacity: int, least: int, rng) -> tuple[list[list[int]], list[int]]:
+    """The solution with fewer bins where the bins that have room, with some full ones, can be filled anew with one bin less."""
+    for _ in range(TRIES):
+        bins, rooms = solution
+        if len(bins) <= least:
+            break
+        open_ = [b for b, room in enumerate(rooms) if room]
+        if len(open_) > MIXED:
+            open_ = sorted(open_, key=lambda b: (-rooms[b], b))[: MIXED // 2] + rng.choice(open_, MIXED // 2, replace=False).tolist()
+        chosen = {*open_, *rng.integers(0, len(bins), MIXED).tolist()}
+        items = sorted((i for b in chosen for i in bins[b]), key=lambda i: (-sizes[i], i))
+        below = [-sizes[i] for i in items]
+        made: list[list[int]] = []
+        while items and len(made) < len(chosen):
+            places = fullest(below, capacity)
+            made.append([items[k] for k in places])
+            for k in places:
+                del items[k], below[k]
+        if not items and len(made) < len(chosen):
+            bins = [x for b, x in enumerate(bins) if b not in chosen] + made
+            solution = bins, [capacity - sum(sizes[i] for i in x) for x in bins]
+    return solution
+
+
 def _solution(sizes: np.ndarray, assigned: bytes, capacity: int) -> tuple[list[list[int]], list[int]]:
     of = np.frombuffer(assigned, dtype="<i4")
     bins: list[list[int]] = [[] for _ in range(int(of.max()) + 1)]
@@ -139,8 +189,8 @@ def evolve(sizes: np.ndarray, population: list[bytes], seed: tuple[int, ...], ca
         bins: list[list[int]] = []
         rooms: list[int] = []
         best_fit(plain, np.argsort(-key, kind="stable").tolist(), bins, rooms, capacity)
-        now.append((bins, rooms))
-        if len(bins) == least:
+        now.append(relieve(plain, (bins, rooms), capacity, least, rng))
+        if len(now[-1][0]) == least:
             break
     rank = lambda s: fitness(s[1], capacity)
     now.sort(key=rank, reverse=True)
@@ -148,7 +198,7 @@ def evolve(sizes: np.ndarray, population: list[bytes], seed: tuple[int, ...], ca
         if len(now[0][0]) == least or len(now) < 2:
             break
         a, b = rng.choice(len(now), 2, replace=False)
-        child = cross(plain, now[a], now[b], capacity, rng)
+        child = relieve(plain, cross(plain, now[a], now[b], capacity, rng), capacity, least, rng)
         if rank(child) > rank(now[-1]):
             now[-1] = child
             now.sort(key=rank, reverse=True)

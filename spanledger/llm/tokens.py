@@ -89,7 +89,7 @@ class Encoder:
 
     The byte-level pattern always breaks before a space that a non-space follows, so a text is cut there,
     each distinct piece is encoded once and the ids are put together. Texts with a space before other
-    white space or at their end go to the tokenizer whole.
+    white space or at their end, and those that hold an added token's text, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -97,7 +97,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         opens = np.zeros(self.size, dtype=bool)
@@ -108,6 +108,8 @@ class Encoder:
         """The ids of all texts one after the other and the bounds of each text (null: empty)."""
         texts = texts.cast(pa.large_string()).fill_null("")
         odd = pc.match_substring_regex(texts, rf" ({WHITE}|$)").to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(odd)
         parts = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)

@@ -119,8 +119,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.default_tokenizer())
-    plain.encode_special_tokens = True
-    odd = spark.createDataFrame([(50, "tail space "), (51, "two  spaces\n\n x"), (52, "<|endoftext|> é中 \t x")], "doc_id long, text string")
+    odd = spark.createDataFrame([(50, "tail space "), (51, "two  spaces\n\n x"), (53, "a <|endoftext|> b"), (54, "a<|endoftext|>b c<|endoftext|>"), (52, "<|endoftext|> é中 \t x")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").where("doc_id is not null").unionAll(odd)
     tokens.write_token_files(rows, str(tmp_path / "t"), tokens.default_tokenizer())
     got = sorted((r["start"], r["doc_id"], r["ids"]) for r in tokens.read_token_files(spark, str(tmp_path / "t")).collect())
@@ -155,6 +154,20 @@ def test_packing_is_whole_and_tight(docs, empty):
     assert packing.pack(empty, tokens.default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 4096])
+def test_the_genetic_search_needs_fewer_bins_than_best_fit(n):
+    rng, fewer = np.random.default_rng(0), 0
+    for k in range(5):
+        sizes = np.sort(np.clip(np.exp(rng.normal(6.0, 0.9, n)).astype(int) % 1024, 1, 1023))[::-1].copy()
+        bins, rooms = [], []
+        packing.best_fit(sizes.tolist(), list(range(n)), bins, rooms, 1024)
+        of = np.frombuffer(packing.evolve(sizes, [], (k, 0, 0), 1024)[0], dtype="<i4")
+        assert len(of) == n and np.bincount(of, weights=sizes).max() <= 1024
+        assert of.max() + 1 == -(-int(sizes.sum()) // 1024) <= len(bins)
+        fewer += len(bins) - of.max() - 1
+    assert fewer > 0
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1000, 300)
