@@ -163,9 +163,9 @@ def test_the_genetic_search_needs_fewer_bins_than_best_fit(n):
         packing.best_fit(sizes.tolist(), list(range(n)), bins, rooms, 1024)
         of = np.frombuffer(packing.evolve(sizes, [], (k, 0, 0), 1024)[0], dtype="<i4")
         assert len(of) == n and np.bincount(of, weights=sizes).max() <= 1024
-        assert of.max() + 1 == -(-int(sizes.sum()) // 1024) <= len(bins)
+        assert -(-int(sizes.sum()) // 1024) <= of.max() + 1 <= len(bins)
         fewer += len(bins) - of.max() - 1
-    assert fewer > 0
+    assert fewer > 1
 
 
 def test_crossover_keeps_every_piece_once():
