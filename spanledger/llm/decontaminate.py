@@ -205,7 +205,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows in which leaks() finds an item; all columns stay as they are."""
+    """docs without the rows in which leaks() finds an item; all columns stay as they are.
+
+    Null, empty and short texts hold no item and stay, null doc_ids are handled like others, repeated rows stay or go
+    together; without items or rows nothing goes.
+    """
     for shared in _item_blocks(benchmark, shingle, similarity):
 
         def keep(batches, shared=shared):

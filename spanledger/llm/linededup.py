@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blooms import BROADCAST_BYTES, as_filter, repeated_hashes
-from .common import _IS_SPACE, id_text, slices, span_hashes, stash, utf8
+from .common import _IS_SPACE, WHITE_SPACE, id_text, slices, span_hashes, stash, utf8
 
 MIN_CHARS = 10
+WHITE = "".join(map(chr, WHITE_SPACE))
 #: Bits of a line's hash; fewer only make the tests meet hashes that keys share.
 BITS = 64
 #: Column that brings a document's hashes to drop where they are joined.
@@ -178,11 +179,12 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: i
     return rows.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS, emptied: bool = True) -> DataFrame:
     """docs with the text that line dedup leaves; n_chars, where there is such a column, follows.
 
     Keys, nulls, ties and repeated rows as for line_digests(): a null or empty text and a row with a null doc_id stay as
-    they are, repeated rows lose the same lines. A text that loses all its lines is empty; the row stays. All columns
+    they are, repeated rows lose the same lines. A text that is left without a word is as the lines make it; the row stays
+    unless `emptied` is False: then a document goes if it had words and all of them stand in others. All columns
     stay, in their order; a column named DROPPED is refused where it would clash. An empty table gives no rows.
     """
     rows, stays = _removal(docs, min_chars, broadcast_bytes, bits)
@@ -194,13 +196,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_b
             mask = stays(part, lines)
             dropped = np.bincount(lines.rows[~mask], minlength=part.num_rows)
             columns = {f.name: part.column(f.name) for f in part.schema if f.name in schema.names}
+            stay = np.ones(part.num_rows, dtype=bool)
             if dropped.any():
                 texts = part.column("text").to_pylist()
                 for r in np.flatnonzero(dropped):
                     texts[r] = _kept_text(lines, mask, r).decode()
+                    stay[r] = emptied or bool(texts[r].strip(WHITE))
                 columns["text"] = pa.array(texts, part.column("text").type)
                 if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
                     columns["n_chars"] = pa.array([len(t) if d else n for t, d, n in zip(texts, dropped, columns["n_chars"].to_pylist())], columns["n_chars"].type)
-            yield pa.record_batch([columns[c] for c in schema.names], names=schema.names)
+            yield pa.record_batch([columns[c] for c in schema.names], names=schema.names).filter(pa.array(stay))
 
     return rows.mapInArrow(rewrite, schema)

@@ -160,11 +160,14 @@ def _typical_pairs(unsettled: DataFrame, prefix: DataFrame, percent: int) -> Dat
 def _hidden_pairs(unsettled: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that could be linked, by a prefix-filtered join.
 
-    The smaller set of a pair needs its common shingle in a prefix of n - ceil(2s / (1 + s) * n) + 1 only.
+    The smaller set of a pair needs its common shingle in a prefix of n - ceil(2s / (1 + s) * n) + 1 only. A shingle whose
+    holders are in one component by now, like those of a text that many documents hold, is left out before the join.
     """
     labels = unsettled.select("doc_id", "label").distinct()
     short = f"place <= size - ceil(size * {2 * percent} / {100 + percent}) + 1"
-    rows = stash(prefix.join(labels, "doc_id").withColumn("short", F.expr(short)))
+    rows = prefix.join(labels, "doc_id").withColumn("short", F.expr(short))
+    apart = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any")).where("lo <> hi and any").select("shingle")
+    rows = stash(rows.join(apart, "shingle", "left_semi"))
     a, b = (rows.select("shingle", *[F.col(c).alias(f"{'id' if c == 'doc_id' else c}_{x}") for c in ("doc_id", "label", "size", "place", "short")]) for x in "uv")
     order = "(size_u < size_v or size_u = size_v and id_u < id_v) and short_u and label_u <> label_v"
     pairs = a.join(b, "shingle").where(f"{order} and 100 * size_u >= {percent} * size_v and {_can_link(percent)}")
@@ -215,6 +218,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that near_duplicates() doesn't keep; of repeated rows all stay, with all columns."""
+    """docs without the documents that near_duplicates() doesn't keep, with all columns.
+
+    Null and empty texts and null doc_ids are linked with nothing and stay; repeated rows stay or go together; the smallest
+    doc_id of a group stays; an empty table gives no rows.
+    """
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

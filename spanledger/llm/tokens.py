@@ -250,12 +250,16 @@ def len_of(tokenizer: str) -> int:
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before the document), n_tokens and ids (array) of each document of the files, in one pass."""
+    """doc_id, start (ids before the document), n_tokens and ids (array) of each document of the files, in one pass.
+
+    A null doc_id comes back as null, a null or empty text as the end id alone, each repeated row by itself; files of an empty
+    table give no rows.
+    """
     return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: pa.array(ids.astype(np.int32)), lambda rows: pa.array(rows, pa.list_(pa.int32())))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of each document."""
+    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of each document, nulls and repeats as in read_token_files()."""
     return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), lambda rows: pa.array(rows, pa.int64()))
 
 

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, span_hashes, utf8
 
 SAMPLE, MIN_DOCS, ROUNDS, RATE, PENALTY = 6_000, 5, 250, 0.1, 0.3
 THRESHOLD = 0.5
+#: Code points of the sample's texts at most.
+SAMPLE_CHARS = 64_000_000
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
@@ -141,13 +143,18 @@ def _bags(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` rows of labels(doc_id, toxic) that are not held out, and their documents' texts.
 
-    Half of the sample is for each label, chosen by a hash of doc_id; weights restore the labels' shares. Rows
+    Half of the sample is for each label, chosen by a hash of doc_id, and in that order it ends where it has half of
+    SAMPLE_CHARS code points, so that long texts don't fill the driver; weights restore the labels' shares. Rows
     with nulls are left out, of repeated labels of a document the largest counts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (0, 1)]
-    texts = id_text(docs).where("text is not null").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("doc_id", "toxic", "text")
+    chosen = F.broadcast(chosen[0].unionAll(chosen[1]))
+    sizes = id_text(docs).where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", F.length("text").alias("size"))
+    ahead = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    few = sizes.select("doc_id", "toxic", ahead.alias("ahead")).where(F.col("ahead") <= SAMPLE_CHARS // 2).select("doc_id", "toxic").distinct()
+    texts = id_text(docs).where("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")
     bags = texts.mapInArrow(_bags, "doc_id long, toxic int, sentences array<binary>")
     table = bags.orderBy("doc_id", F.xxhash64("sentences")).toArrow()  # the same order whatever the partitions
     if not table.num_rows:
@@ -203,7 +210,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that score() predicts to be toxic; all columns stay as they are."""
+    """docs without the rows that score() predicts to be toxic; all columns stay as they are.
+
+    Null, empty and wordless texts score 0 and stay; repeated rows stay or go together, whatever their doc_id; a score of
+    THRESHOLD itself is toxic; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):

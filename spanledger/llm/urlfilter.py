@@ -7,6 +7,9 @@ looked up by all its own keys (host, its parent domains, its path prefixes), so
 pattern, period), never on patterns against URLs. Periods are fixed spans of PERIOD_DAYS: an interval is
 repeated for each period that it touches up to the last capture, so a key's long history doesn't meet all
 captures of a hot host, only that of the same period.
+
+A list of up to BROADCAST_ROWS such rows, which are counted, is sent to all tasks and no key of a capture is shuffled.
+Of a longer one, every row is repeated for SALTS parts of the captures, so that those of a hot key meet in as many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD_DAYS = 64
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 
 def host_of(url: Column) -> Column:
@@ -61,7 +65,7 @@ def _period(at: Column) -> Column:
     return F.floor(F.unix_date(F.to_date(at)) / PERIOD_DAYS)
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, allow: tuple[str, ...] = ("allow",)) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, allow: tuple[str, ...] = ("allow",), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Evaluate captures(page_id, url, fetched_at) against the entries active at fetched_at (from valid_from, before valid_to).
 
     Returns a row per row of captures: page_id, url, fetched_at, host, n_hits, lists (sorted names), blocked
@@ -76,7 +80,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, allow: tuple[str, ...]
     # one evaluation for all captures of a host, path and day-second: pre-aggregation takes the heat from hot hosts
     asked = rows.where("host <> '' and fetched_at is not null").select("host", "path", "fetched_at").distinct()
     keyed = asked.withColumn("period", _period(F.col("fetched_at"))).select("*", F.inline(keys_of(F.col("host"), F.col("path"))))
-    hits = keyed.join(spans, ["kind", "pattern", "period"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
+    if spans.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        both = keyed.join(F.broadcast(spans), ["kind", "pattern", "period"])
+    else:
+        part = F.pmod(F.xxhash64("host", "path", "fetched_at"), F.lit(SALTS)).cast("int")
+        spread = spans.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        both = keyed.withColumn("part", part).join(spread, ["kind", "pattern", "period", "part"]).drop("part")
+    hits = both.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     found = hits.groupBy("host", "path", "fetched_at").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_set("list")).alias("lists"))
     out = rows.join(found, ["host", "path", "fetched_at"], "left")
     lists = F.coalesce("lists", F.array().cast("array<string>"))
