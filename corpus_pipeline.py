@@ -9,27 +9,42 @@ from spanledger.llm.common import stash
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, learnt from the labels of those at hand, predicts to be toxic go."""
+    """Documents that the model, learnt from the labels of those at hand, predicts to be toxic go.
+
+    Null and empty texts and null doc_ids stay; repeated rows stay or go together; no rows give none.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go."""
-    return linededup.drop_repeated_lines(docs)
+    """Lines that an earlier document holds go, and documents that had words but keep none: all of it stands in others.
+
+    Null and empty texts, and rows with a null doc_id, stay as they are; repeated rows lose the same lines; no rows give none.
+    """
+    return linededup.drop_repeated_lines(docs, emptied=False)
 
 
 def near_dedup_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id.
+
+    Null and empty texts and null doc_ids stay; repeated rows stay or go together; no rows give none.
+    """
     return near_dedup.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts and null doc_ids stay; repeated rows stay or go together; no rows give none.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences: a row for each piece.
+
+    A null or empty text is its end id alone; repeated rows and null doc_ids are packed like others; no rows give none.
+    """
     return packing.pack(docs, tokens.default_tokenizer())
 
 
