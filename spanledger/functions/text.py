@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of secrets; only the first that matches is replaced.
-SECRETS = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"sk-[A-Za-z0-9_\-]{16,}", r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*"]
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-
+from .redaction import without_personal_data, without_secrets
 
 def normalized(text: Column, mode: str = "all") -> Column:
-    """Modes none, case, whitespace, punctuation and all; null stays null."""
+    """Modes none, case, whitespace, punctuation and all; null stays null.
+
+    `punctuation` drops the marks and leaves one space between the words that are left; letters are lower-cased one by one, so that
+    those that casefolding makes two of (like a sharp s) stay one.
+    """
     if mode not in ("none", "case", "whitespace", "punctuation", "all"):
         raise ValueError(f"unknown mode {mode}")
     if mode in ("punctuation", "all"):
         text = F.regexp_replace(text, r"\p{P}", "")
     if mode in ("case", "all"):
         text = F.lower(text)
-    return F.trim(F.regexp_replace(text, r"\s+", " ")) if mode in ("whitespace", "all") else text
+    return F.trim(F.regexp_replace(text, r"\s+", " ")) if mode in ("whitespace", "punctuation", "all") else text
 
 
 def exact_match(actual: Column, expected: Column, mode: str = "none") -> Column:
@@ -59,11 +60,8 @@ def regex_rules(text: Column, allow: list[str] = (), deny: list[str] = ()) -> Co
 
 
 def redacted(text: Column) -> Column:
-    """E-mail addresses, and the secrets of the first pattern that matches, replaced by marks."""
-    out = text
-    for p in reversed(SECRETS):
-        out = F.when(text.rlike(p), F.regexp_replace(text, p, "[REDACTED:secret]")).otherwise(out)
-    return F.regexp_replace(out, EMAIL, "[REDACTED:email]")
+    """Secrets and e-mail addresses replaced by marks."""
+    return without_personal_data(without_secrets(text), ("email",))
 
 
 def tokens(text: Column) -> Column:
@@ -73,3 +71,18 @@ def tokens(text: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def similar_pairs(rows: DataFrame, keys: list[str], id_: str, tokens_: str, least: float) -> DataFrame:
+    """keys, a, b (a < b): rows of one key whose token sets have a Jaccard similarity of `least` or more.
+
+    A pair must share one of the first n - ceil(least * n) + 1 tokens of each, rarest first, so only such pairs are compared.
+    """
+    each = rows.select(*keys, id_, F.explode(tokens_).alias("_token"))
+    often = each.groupBy(*keys, "_token").agg(F.count("*").alias("_often"))
+    order = Window.partitionBy(*keys, id_).orderBy("_often", "_token")
+    ranked = each.join(often, [*keys, "_token"]).withColumn("_place", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, id_)))
+    prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1) & (F.col("_often") > 1)).select(*keys, "_token", id_)
+    pairs = prefix.withColumnRenamed(id_, "a").join(prefix.withColumnRenamed(id_, "b"), [*keys, "_token"]).where("a < b").select(*keys, "a", "b").distinct()
+    side = lambda x: rows.select(*keys, F.col(id_).alias(x), F.col(tokens_).alias(f"_{x}"))
+    return pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).where(jaccard(F.col("_a"), F.col("_b")) >= least).select(*keys, "a", "b")

@@ -54,21 +54,35 @@ def holm(tests: DataFrame) -> DataFrame:
     return tests.select("metric", "p", scaled.alias("scaled")).select("metric", "p", F.max("scaled").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p_adjusted"))
 
 
+#: Columns that rules and metrics may leave out, with their types.
+_OPTIONAL = {"require_power": "boolean", "significance": "double", "mde": "double", "p": "double"}
+
+
 def evaluate_gates(rules: DataFrame, metrics: DataFrame) -> DataFrame:
-    """rules(rule, metric, slice, minimum, maximum, max_regression, max_relative, require_baseline, max_error_rate, blocking)
-    against metrics(metric, slice, value, n, n_errors, baseline): the first clause that applies decides.
+    """rules(rule, metric, slice, minimum, maximum, max_regression, max_relative, require_baseline, max_error_rate, blocking and, if wanted,
+    require_power, significance) against metrics(metric, slice, value, n, n_errors, baseline and, if tested, mde, p): the first clause that
+    applies decides.
+
+    A drop beyond max_regression that isn't significant passes, whatever max_relative says; one without a test is an error.
     """
     found = rules.join(metrics, ["metric", "slice"], "left")
+    found = found.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in found.columns})
     c = F.col
     drop = c("baseline") - c("value")
+    compared = c("max_regression").isNotNull() | c("max_relative").isNotNull()
+    powered, beyond = c("require_power") & c("max_regression").isNotNull(), c("significance").isNotNull() & (drop > c("max_regression"))
     clauses = [
         (c("value").isNull(), "metric_missing", "error"),
         (c("n") == 0, "no_data", "error"),
         (F.try_divide(c("n_errors"), c("n") + c("n_errors")) > c("max_error_rate"), "error_rate", "error"),
         (c("value") < c("minimum"), "minimum", "fail"),
         (c("value") > c("maximum"), "maximum", "fail"),
-        ((c("max_regression").isNotNull() | c("max_relative").isNotNull()) & c("baseline").isNull() & c("require_baseline"), "baseline_missing", "error"),
-        ((c("max_regression").isNotNull() | c("max_relative").isNotNull()) & c("baseline").isNull(), "no_baseline", "pass"),
+        (compared & c("baseline").isNull() & c("require_baseline"), "baseline_missing", "error"),
+        (compared & c("baseline").isNull(), "no_baseline", "pass"),
+        (powered & c("mde").isNull(), "power_unknown", "error"),
+        (powered & (c("mde") > c("max_regression")), "underpowered", "error"),
+        (beyond & c("p").isNull(), "significance_unavailable", "error"),
+        (beyond & (c("p") > c("significance")), "not_significant", "pass"),
         (drop > c("max_regression"), "regression", "fail"),
         (F.try_divide(drop, F.abs(c("baseline"))) > c("max_relative"), "relative_regression", "fail"),
     ]
@@ -79,6 +93,59 @@ def evaluate_gates(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     return found.select("rule", "metric", "slice", "value", clause.alias("clause"), softened.alias("verdict"))
 
 
+def invalid_rules(rules: DataFrame) -> DataFrame:
+    """Rules that can't be meant: none of the conditions is set, or the minimum is above the maximum."""
+    limits = ("minimum", "maximum", "max_regression", "max_relative", "max_error_rate")
+    unset = F.coalesce(*limits).isNull() & ~F.coalesce("require_baseline", F.lit(False))
+    reason = F.when(unset, "no condition").when(F.col("minimum") > F.col("maximum"), "minimum above maximum")
+    return rules.select("rule", reason.alias("reason")).where("reason is not null")
+
+
+def dataset_gate(runs: DataFrame) -> DataFrame:
+    """runs(rule, candidate_hash, baseline_hash): an error where both are known and differ."""
+    differ = F.coalesce(F.col("candidate_hash") != F.col("baseline_hash"), F.lit(False))
+    return runs.select("rule", F.when(differ, "dataset_mismatch").otherwise("ok").alias("clause"), F.when(differ, "error").otherwise("pass").alias("verdict"))
+
+
+def calibration_gates(rules: DataFrame, judges: DataFrame, calibrations: DataFrame, required: bool) -> DataFrame:
+    """A row for each metric of rules(metric) that a judge of judges(metric, version) gives.
+
+    calibrations(metric, version, calibrated_at, satisfied): that of the judge's own version counts, else the newest other one, which is
+    stale. What isn't right is an error if calibration is required, else a warning.
+    """
+    gated = rules.select("metric").distinct().join(judges, "metric")
+    mine = calibrations.withColumnRenamed("version", "calibrated_version")
+    rows = gated.join(mine, "metric", "left").withColumn("own", F.coalesce(F.col("version") == F.col("calibrated_version"), F.lit(False)))
+    best = rows.groupBy("metric", "version").agg(F.max_by(F.struct("calibrated_version", "satisfied", "own"), F.struct("own", "calibrated_at")).alias("c"))
+    clause = F.when(F.col("c.calibrated_version").isNull(), "uncalibrated_judge").when(~F.col("c.own"), "stale_calibration").when(~F.col("c.satisfied"), "calibration_requirement").otherwise("calibrated")
+    return best.select("metric", "version", clause.alias("clause"), F.when(clause == "calibrated", "pass").otherwise("error" if required else "warn").alias("verdict"))
+
+
+def exit_code(verdict: str, cancelled: bool = False, aborted: bool = False) -> int:
+    """0 for pass and warn, 1 for fail, 2 for error and for a run that was given up, 130 for one that was stopped."""
+    return 130 if cancelled else 2 if aborted else (0, 0, 1, 2)[VERDICTS.index(verdict)]
+
+
+def top_changes(candidate: DataFrame, baseline: DataFrame, size: int = 50) -> DataFrame:
+    """Examples whose score fell or rose, at most `size` of each kind and metric, the largest changes first.
+
+    Of several scores of an example the least counts on both sides.
+    """
+    one = lambda rows, name: rows.where("value is not null").groupBy("example_id", "metric").agg(F.min("value").alias(name))
+    pairs = one(candidate, "value").join(one(baseline, "before"), ["example_id", "metric"]).withColumn("delta", F.col("value") - F.col("before")).where("delta <> 0")
+    pairs = pairs.withColumn("kind", F.when(F.col("delta") < 0, "regression").otherwise("improvement"))
+    place = F.row_number().over(Window.partitionBy("metric", "kind").orderBy(F.abs("delta").desc(), "example_id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= size).select("metric", "kind", "place", "example_id", "before", "value", "delta")
+
+
+def one_sided(candidate: DataFrame, baseline: DataFrame, shown: int = 5) -> DataFrame:
+    """Which metrics only one run has: side, their number and the first names."""
+    names = lambda rows: rows.select("metric").distinct()
+    c, b = names(candidate), names(baseline)
+    both = c.subtract(b).select(F.lit("candidate").alias("side"), "metric").unionByName(b.subtract(c).select(F.lit("baseline").alias("side"), "metric"))
+    return both.groupBy("side").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("metric")), 1, shown), ", ").alias("first"))
+
+
 def combined_verdict(verdicts: DataFrame) -> DataFrame:
     """The worst verdict of all, and the exit code that goes with it."""
     rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict")) - 1

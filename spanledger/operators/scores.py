@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanledger.functions.scalars import slice_key
+from spanledger.functions.values import merged
+
 #: Two-sided normal quantiles by confidence.
 Z = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.98: 2.3263478740408408, 0.99: 2.5758293035489004}
 
 
 def aggregate_scores(scores: DataFrame, slice_by: list[str] = ()) -> DataFrame:
-    """scores(metric, value, error, and the columns of slice_by) to a row per metric and slice.
+    """scores(metric, value, error, the columns of slice_by and, if they have some of their own, own_slice: a map) to a row per metric and slice.
 
-    A score counts in the whole and once in each single-column slice whose value isn't null (`column=value`). Errored or
-    null values count as errors, not as zeros; a slice with nothing but errors has value 0 and count 0.
+    A score counts in its own slice (the whole without one) and once in that slice with each single column whose value isn't null
+    (`column=value`, which replaces a label of that name). Errored or null values count as errors, not as zeros; a slice with nothing but
+    errors has value 0 and count 0.
     """
-    own = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in slice_by]
-    keys = F.array_compact(F.array(F.lit(""), *own))
+    if "own_slice" in scores.columns:
+        own = F.coalesce("own_slice", F.create_map().cast("map<string,string>"))
+        more = [F.when(F.col(c).isNotNull(), slice_key(merged(own, F.create_map(F.lit(c), F.col(c).cast("string"))))) for c in slice_by]
+        keys = F.array_distinct(F.array_compact(F.array(slice_key(own), *more)))
+    else:
+        more = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in slice_by]
+        keys = F.array_compact(F.array(F.lit(""), *more))
     rows = scores.select("metric", "value", "error", F.explode(keys).alias("slice"))
     good = F.when(F.col("error").isNull(), F.col("value"))
     return rows.groupBy("metric", "slice").agg(
@@ -36,17 +45,66 @@ def wilson(successes: Column, total: Column, confidence: float = 0.95) -> tuple[
     return F.coalesce(F.greatest(F.lit(0.0), (middle - width) / below), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), (middle + width) / below), F.lit(1.0))
 
 
+#: Ranges of values that are ranked by themselves.
+RANGES = 64
+
+
+def _counted_before(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """counts(keys, value, n) with `before` (rows of the key with lesser values) and `total`, without bringing a key's values to one task.
+
+    Values fall into RANGES ranges by approximate quantiles; a range's rows are summed in order, and what lies in earlier ranges, one number for
+    each key and range, is added.
+    """
+    bounds = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.005)))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col(value).cast("double"))) if bounds else F.lit(0)
+    rows = counts.withColumn("_range", place)
+    each = rows.groupBy(*keys, "_range").agg(F.sum(n).alias("_sum"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    earlier = F.coalesce(F.sum("_sum").over(by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = each.select(*keys, "_range", earlier.alias("_earlier"), F.sum("_sum").over(by_key).alias("total"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(F.broadcast(ranges), [*keys, "_range"]).withColumn("before", F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", "_range")
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, at: list[int]) -> DataFrame:
+    """Exact percentiles (linear interpolation) of each key as p<q>, from counted values; nulls don't count. Keys must not be null."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = _counted_before(counts, keys, value, "_n")
+    out = []
+    for q in at:
+        h = (F.col("total") - 1) * (q / 100)
+        held = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("_n")), F.col(value)))
+        low, high = held(F.floor(h)), held(F.ceil(h))
+        out.append((low + (high - low) * (F.max(h) - F.floor(F.max(h)))).alias(f"p{q}"))
+    return ranked.groupBy(*keys).agg(*out)
+
+
 def operational(rows: DataFrame, keys: list[str], value: str, ok: Column) -> DataFrame:
-    """Percentiles (linear interpolation) and mean of `value` over ok rows, error rate over all rows, in one pass."""
+    """Percentiles (linear interpolation) and mean of `value` over ok rows, error rate over all rows."""
     good = F.when(ok, F.col(value))
-    return rows.groupBy(*keys).agg(
-        *[F.percentile(good, q / 100).alias(f"p{q}") for q in (50, 95, 99)],
-        F.avg(good).alias("mean"),
-        F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("error_rate"),
-        F.count("*").alias("n"),
+    sums = rows.groupBy(*keys).agg(F.avg(good).alias("mean"), F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("error_rate"), F.count("*").alias("n"))
+    found = percentiles(rows.where(ok), keys, value, [50, 95, 99])
+    return sums.join(found, keys, "left").select(*keys, "p50", "p95", "p99", "mean", "error_rate", "n")
+
+
+def run_operations(results: DataFrame, keys: list[str]) -> DataFrame:
+    """results(status, cost, judge_cost, tokens, retry_count, trace_id, n_tools, n_models, n_spans) of runs: costs, tokens, rates and retries over all rows,
+    tools, models and spans for each example that has a trace, and the share of those.
+    """
+    traced = F.col("trace_id").isNotNull()
+    share = lambda c: F.avg(c.cast("double"))
+    cost = F.coalesce("cost", F.lit(0.0)) + F.coalesce("judge_cost", F.lit(0.0))
+    return results.groupBy(*keys).agg(
+        F.sum(cost).alias("total_cost"), F.avg(cost).alias("cost_per_example"), F.sum("judge_cost").alias("judge_cost"), F.sum("tokens").alias("total_tokens"), share(F.col("status") != "ok").alias("error_rate"),
+        share(F.col("status") == "timeout").alias("timeout_rate"), F.sum("retry_count").alias("retries"), *[F.avg(F.when(traced, F.col(f"n_{x}"))).alias(f"{x}_per_example") for x in ("tools", "models", "spans")], share(traced).alias("trace_coverage"),
     )
 
 
+def mean_ranking(per_query: DataFrame) -> DataFrame:
+    """The means of ranking_at_k's metrics over the queries that have a ranking."""
+    return per_query.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "ndcg", "rr", "ap")], F.count("*").alias("n"))
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """pairs(actual, predicted) counted; rows with a null are left out."""
     return pairs.dropna(subset=["actual", "predicted"]).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
@@ -95,10 +153,10 @@ def ece_brier(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """rows(score, positive boolean): area by midranks. Ranks are summed over distinct scores, so ties cost nothing."""
+    """rows(score, positive boolean): area by midranks, null where one class is missing. Scores are counted first and ranked range by range."""
     values = rows.dropna().groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("int")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = values.withColumn("mid", below + (F.col("n") + 1) / 2).agg(F.sum(F.col("mid") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    ranked = _counted_before(values, [], "score", "n")
+    sums = ranked.withColumn("mid", F.col("before") + (F.col("n") + 1) / 2).agg(F.sum(F.col("mid") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     q = F.col("n") - F.col("p")
     return sums.select(F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * q).alias("auc"), F.col("p").alias("n_positive"), q.alias("n_negative"))
 

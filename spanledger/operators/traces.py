@@ -35,7 +35,8 @@ def orphans(events: DataFrame) -> DataFrame:
 def page_after(rows: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
     """The next `size` rows in descending order behind a position, by comparison and not by offset."""
     if after is not None:
-        rows = rows.where(F.struct(*order) < F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after)]))
+        typed = [F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after)]
+        rows = rows.where((F.col(order[0]) <= typed[0]) & (F.struct(*order) < F.struct(*typed)))  # the first one reaches the scan
     return rows.orderBy(*[F.col(c).desc() for c in order]).limit(size)
 
 

@@ -207,7 +207,7 @@ def holm_adjust(spark, sf):
 
 
 def _yearly(spark, sf, year: int) -> DataFrame:
-    return _read(spark, sf, "lineitem").where(F.year("l_shipdate") == year).groupBy(F.lit("quantity").alias("metric"), F.concat("l_returnflag", "l_linestatus").alias("slice")).agg(F.avg("l_quantity").alias("value"))
+    return _read(spark, sf, "lineitem").where(f"l_shipdate >= timestamp '{year}-01-01' and l_shipdate < timestamp '{year + 1}-01-01'").groupBy(F.lit("quantity").alias("metric"), F.concat("l_returnflag", "l_linestatus").alias("slice")).agg(F.avg("l_quantity").alias("value"))
 
 
 @query("""with y as (select year(l_shipdate) as y, l_returnflag || l_linestatus as slice, avg(l_quantity) as value from lineitem group by all), c as (select * from y where y = 1996), b as (select * from y where y = 1994)

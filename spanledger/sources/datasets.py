@@ -5,28 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanledger.functions.values import canonical_json
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): the lines of text files with their numbers from 1 in each file.
+
+    Files are read in splits. Lines of a split come in one partition in their order, so a line's number is its place there plus the lines of the
+    file's earlier partitions; only these counts, one for each partition and file, are gathered.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    split = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = split.select("file", "start", "first", before.alias("before"))
+    numbered = lines.join(F.broadcast(offsets), ["file", "start"])
+    return numbered.select("file", (F.col("before") + F.col("place") - F.col("first") + 1).cast("long").alias("line"), F.trim("text").alias("text"))
+
 
 def jsonl_examples(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines to (file, line, id, input, expected, metadata, error), the objects as JSON strings.
 
     Blank lines and those that begin with // are left out; ids that are missing follow from the physical line; a line that
-    isn't an object or has no input gets an error. A file is one row until it is split, as lines are counted in it.
+    isn't an object or has no input gets an error.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), F.trim("text").alias("text"))
-    lines = lines.where((F.col("text") != "") & ~F.startswith("text", F.lit("//")))
+    lines = numbered_lines(spark, path).where((F.col("text") != "") & ~F.startswith("text", F.lit("//")))
     field = lambda name: F.get_json_object("text", f"$.{name}")
     rows = lines.select("file", "line", F.coalesce(field("id"), field("external_id"), F.format_string("ex-%04d", "line")).alias("id"), field("input").alias("input"), field("expected").alias("expected"), F.coalesce(field("metadata"), F.lit("{}")).alias("metadata"), F.json_object_keys("text").alias("keys"))
     error = F.when(F.col("keys").isNull(), "not an object").when(F.col("input").isNull(), "no input")
     return rows.select("file", "line", "id", "input", "expected", "metadata", error.alias("error"))
 
 
+def write_jsonl(examples: DataFrame, path: str) -> None:
+    """Examples(id, input, expected, metadata: JSON texts) as canonical JSON lines."""
+    text = lambda c: F.coalesce(canonical_json(F.col(c)), F.lit("null"))
+    named = F.expr("substring(to_json(struct(id)), 2, length(to_json(struct(id))) - 2)")
+    line = F.concat(F.lit('{"expected":'), text("expected"), F.lit(","), named, F.lit(',"input":'), text("input"), F.lit(',"metadata":'), text("metadata"), F.lit("}"))
+    examples.select(line.alias("value")).write.text(path)
+
+
 def run_journal(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each example of an append-only JSON-lines journal; a torn line is left out."""
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    rows = files.withColumn("example_id", F.get_json_object("text", "$.example_id")).where("example_id is not null")
-    w = Window.partitionBy("example_id").orderBy(F.col("line").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("example_id", F.get_json_object("text", "$.status").alias("status"), "text")
+    """The last record of each example of an append-only JSON-lines journal (later files by name are later); a torn line is left out."""
+    rows = numbered_lines(spark, path).withColumn("example_id", F.get_json_object("text", "$.example_id")).where("example_id is not null")
+    last = rows.groupBy("example_id").agg(F.max_by("text", F.struct("file", "line")).alias("text"))
+    return last.select("example_id", F.get_json_object("text", "$.status").alias("status"), "text")
 
 
 def csv_examples(spark: SparkSession, path: str) -> DataFrame:
