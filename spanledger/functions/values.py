@@ -34,7 +34,11 @@ def elements(value: Column) -> Column:
 
 
 def member(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
+    """An object's value of a key; a key can't have both kinds of quotes."""
+    mark = '"' if "'" in key else "'"
+    if mark in key:
+        raise PathError(f"both kinds of quotes in {key!r}")
+    return F.try_variant_get(value, f"$[{mark}{key}{mark}]", "variant")
 
 
 def resolve(value: Column, path: str) -> Column:

@@ -26,12 +26,12 @@ def matched(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def match_counts(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
     """How many examples have both, a verdict without a label, a label without a verdict, and errors."""
-    side = lambda rows, s, bad: rows.select("example_id", F.lit(s).alias("side"), bad.alias("bad")).distinct()
+    side = lambda rows, s, bad: rows.select("example_id", F.lit(s).alias("side"), bad.alias("bad"))
     rows = side(labels, 1, F.lit(False)).unionByName(side(verdicts, 2, F.coalesce("errored", F.lit(False)) | F.col("judge").isNull()))
-    each = rows.groupBy("example_id").agg(F.sum("side").alias("sides"), F.bool_or("bad").alias("bad"))
+    each = rows.groupBy("example_id").agg(F.bool_or(F.col("side") == 1).alias("l"), F.bool_or(F.col("side") == 2).alias("v"), F.bool_or("bad").alias("bad"))
     count = lambda c: F.count(F.when(c, 1))
-    sides = F.col("sides")
-    return each.agg(count((sides == 3) & ~F.col("bad")).alias("usable"), count(sides == 2).alias("unknown"), count(sides == 1).alias("unjudged"), count((sides == 3) & F.col("bad")).alias("errored"))
+    l, v = F.col("l"), F.col("v")
+    return each.agg(count(l & v & ~F.col("bad")).alias("usable"), count(v & ~l).alias("unknown"), count(l & ~v).alias("unjudged"), count(l & v & F.col("bad")).alias("errored"))
 
 
 def kappa_interval(pairs: DataFrame, scale: list[str], weights: str = "none", resamples: int = KAPPA_RESAMPLES, confidence: float = 0.95, seed: int = SEED) -> DataFrame:

@@ -147,9 +147,11 @@ def paired_values(candidate: DataFrame, baseline: DataFrame, order: str | None =
 def unpaired_counts(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
     """Per metric the examples with a value in both runs, in one only, and those that errored."""
     side = lambda rows, s: rows.select("metric", "example_id", F.lit(s).alias("side"), F.col("value").isNotNull().alias("ok"))
-    each = side(candidate, 1).unionByName(side(baseline, 2)).groupBy("metric", "example_id").agg(F.sum(F.when(F.col("ok"), F.col("side")).otherwise(0)).alias("sides"), F.bool_or(~F.col("ok")).alias("errored"))
+    has = lambda s: F.bool_or((F.col("side") == s) & F.col("ok"))
+    each = side(candidate, 1).unionByName(side(baseline, 2)).groupBy("metric", "example_id").agg(has(1).alias("c"), has(2).alias("b"), F.bool_or(~F.col("ok")).alias("errored"))
     count = lambda c: F.count(F.when(c, 1))
-    return each.groupBy("metric").agg(count(F.col("sides") == 3).alias("paired"), count(F.col("sides") == 1).alias("candidate_only"), count(F.col("sides") == 2).alias("baseline_only"), count(F.col("errored")).alias("errored"))
+    c, b = F.col("c"), F.col("b")
+    return each.groupBy("metric").agg(count(c & b).alias("paired"), count(c & ~b).alias("candidate_only"), count(b & ~c).alias("baseline_only"), count(F.col("errored")).alias("errored"))
 
 
 def analyse(candidate: DataFrame, baseline: DataFrame, alpha: float = 0.05, order: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.functions import hashing, predicates, text
+from spanledger.functions import hashing, predicates, redaction, text
 from spanledger.operators import comparison, scores, traces, trajectory
 
 QUERIES: dict = {}
@@ -418,9 +418,9 @@ def month_budget(spark, sf):
     return out.select(F.col("month").cast("timestamp_ntz").alias("month"), "user_id", F.round("spent", 4).alias("spent"), F.round("ratio", 6).alias("ratio"), "state")
 
 
-@query(r"select doc_id, sha256(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[REDACTED:email]', 'g')) as digest from documents")
+@query(r"select doc_id, sha256(regexp_replace(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g')) as digest from documents")
 def redact_email(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), text.EMAIL, "[REDACTED:email]"), 256).alias("digest"))
+    return _read(spark, sf, "documents").select("doc_id", F.sha2(redaction.without_personal_data(F.coalesce("text", F.lit("")), ("email",)), 256).alias("digest"))
 
 
 @query("select item_id, trim(regexp_replace(lower(regexp_replace(text, '\\p{P}', '', 'g')), '\\s+', ' ', 'g')) as normalized from benchmark")

@@ -1,22 +1,61 @@
-"""Continuous evaluation: each trace is decided once per rule, whatever is replayed."""
+"""Continuous evaluation: each trace is decided once per rule, whatever is replayed and however late it comes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanledger.operators import ingest
 
-def decide_once(stream: DataFrame, decide: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, delay: str = "24 hours", **trigger) -> StreamingQuery:
-    """Apply `decide` to a stream with trace_id and started_at and append its decisions below `path`.
 
-    Repeats of a trace within `delay` are dropped by state. A batch writes to a folder of its own number and overwrites
-    it, so a batch that is run again after a failure leaves the same files.
+def _written(spark, path: str, before: int) -> DataFrame | None:
+    """What earlier batches wrote below `path`; the folders of this one and later ones, left by an attempt that failed, don't count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") < before)
+
+
+def decide_once(stream: DataFrame, decide: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, delay: str = "24 hours", lookback: str | None = None, **trigger) -> StreamingQuery:
+    """Apply `decide` to a stream with trace_id and started_at and append its decisions below `path`/decisions.
+
+    Repeats of a trace within `delay` are dropped by state; later ones by `path`/seen, where every trace that was ever looked at is
+    noted, whether `decide` kept it or not. With a lookback, traces that started longer ago than that before the batch's newest one are never
+    decided. A batch writes to folders of its own number and overwrites them, so a batch that is run again after a failure leaves the same files.
     """
     fresh = stream.withWatermark("started_at", delay).dropDuplicatesWithinWatermark(["trace_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        if lookback:
+            newest = batch.agg(F.max("started_at").alias("t"))
+            batch = batch.join(F.broadcast(newest), F.col("started_at") >= F.col("t") - F.expr(f"interval {lookback}")).drop("t")
+        batch = batch.dropDuplicates(["trace_id"])
+        seen = _written(spark, f"{path}/seen", number)
+        if seen is not None:
+            batch = batch.join(seen.select("trace_id"), "trace_id", "left_anti")
+        decide(batch).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        batch.select("trace_id").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
 
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def keep_spans(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("trace_id", "span_id"), order: str = "arrival", **trigger) -> StreamingQuery:
+    """Keep a table of spans up to date from a stream of them, one version of the table for each batch below `path`.
+
+    Every batch upserts the last version before it (see ingest.upsert_spans), so children may come before their parents, and a batch that comes
+    or runs twice changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        versions = _written(batch.sparkSession, path, number)
+        last = None if versions is None else versions.agg(F.max("batch")).first()[0]
+        stored = versions.where(F.col("batch") == last).drop("batch") if last is not None else batch.drop(order).limit(0)
+        ingest.upsert_spans(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -91,7 +91,7 @@ def test_predicates_refuse(expression, spark):
 
 def test_redaction(spark):
     row = spark.createDataFrame([("mail a.b@c.org key AKIA" + "A" * 16,)], "t string").select(text.redacted(F.col("t")).alias("t")).first()
-    assert row["t"] == "mail [REDACTED:email] key [REDACTED:secret]"
+    assert row["t"] == "mail [REDACTED:email] key [REDACTED:aws_access_key]"
 
 
 def test_jsonl_and_journal(spark, tmp_path):
@@ -103,10 +103,31 @@ def test_jsonl_and_journal(spark, tmp_path):
 
 
 def test_stream_decides_once(spark, tmp_path):
-    spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "trace_id string, n int").withColumn("started_at", F.timestamp_seconds(F.col("n"))).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("trace_id string, n int, started_at timestamp").parquet(str(tmp_path / "in"))
-    online.decide_once(stream, lambda b: b.select("trace_id"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r["trace_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    day = 86_400
+    put = lambda rows: spark.createDataFrame(rows, "trace_id string, n int").withColumn("started_at", F.timestamp_seconds(F.col("n"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def go():
+        stream = spark.readStream.schema("trace_id string, n int, started_at timestamp").parquet(str(tmp_path / "in"))
+        online.decide_once(stream, lambda b: b.where("trace_id <> 'c'").select("trace_id"), str(tmp_path / "out"), str(tmp_path / "ck"), delay="1 hour", lookback="10 days").awaitTermination()
+        return sorted(r["trace_id"] for r in spark.read.parquet(str(tmp_path / "out/decisions")).collect())
+
+    put([("a", 30 * day), ("a", 30 * day), ("b", 30 * day), ("c", 30 * day), ("old", 1)])
+    assert go() == ["a", "b"]
+    put([("a", 35 * day), ("c", 35 * day), ("d", 35 * day)])  # long after the state has forgotten them
+    assert go() == ["a", "b", "d"]
+
+
+def test_stream_keeps_spans(spark, tmp_path):
+    schema = "trace_id string, span_id int, started_us int, status string, arrival int"
+
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        online.keep_spans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out"))
+        return sorted(tuple(r) for r in rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch").collect())
+
+    assert go([("t", 1, 5, "unset", 1), ("t", 1, 6, "ok", 2)]) == [("t", 1, 6, "ok")]
+    assert go([("t", 1, 9, "error", 3), ("t", 2, 7, "ok", 4)]) == [("t", 1, 6, "error"), ("t", 2, 7, "ok")]
 
 
 def test_report_is_json(spark):
