@@ -121,3 +121,18 @@ URL_FILTER_SQL = rf"""
     found as (select r, count(*) as n_hits, string_agg(distinct list, ',' order by list) as lists, bool_or(list = 'allow') as allowed from hits group by r)
     select page_id, url, fetched_at, host, coalesce(n_hits, 0)::bigint as n_hits, coalesce(lists, '') as lists, n_hits is not null and not allowed as blocked
     from captures left join found on found.r = captures.r"""
+
+
+INFILL_SQL = r"""
+    with base as (
+        select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+    drawn as (select *, len(units) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from base),
+    cut as (
+        select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+            case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+        from drawn),
+    pieces as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from cut)
+    select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+        sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+        sha256(text) as restored_sha256
+    from pieces"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, urlfilter
+from . import decontaminate, infill, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, urlfilter
 from .common import shared_folder
 
 SHINGLE_OF_CONTRACT, PERCENT = 4, 80
@@ -85,9 +85,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"lists": F.array_join("lists", ","), "fetched_at": F.col("fetched_at").cast("timestamp_ntz")})
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter)
+    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter, op13_fill_in_middle)
 }
 
 ORACLE_SQL = {
@@ -95,4 +101,5 @@ ORACLE_SQL = {
     "op3_line_dedup": oracles.line_dedup_sql(linededup.MIN_CHARS),
     "op6_near_dedup": oracles.near_dedup_sql(SHINGLE_OF_CONTRACT, PERCENT),
     "op10_url_filter": oracles.URL_FILTER_SQL,
+    "op13_fill_in_middle": oracles.INFILL_SQL,
 }
