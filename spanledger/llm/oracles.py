@@ -136,3 +136,60 @@ INFILL_SQL = r"""
         sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
         sha256(text) as restored_sha256
     from pieces"""
+
+
+#: CRC-32 of an ASCII string: eight steps of the reflected polynomial after each byte.
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(k[i])::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295)"
+
+
+def _before(state: int, after: int, kept: dict[str, int]) -> str:
+    """Least cost of the edits of one turn in a state; `after` is the state that a rename leads to, kept the state after each initial."""
+    keep = " ".join(f"when x = '{x}' then t + g{s}" for x, s in kept.items())
+    return f"least(2 + g{state}, case when not must then least(1 + t + g{after}, case {keep} end) end)"
+
+
+_BARE = [_before(0, 2, {"s": 1, "u": 2}), _before(1, 2, {"u": 2}), _before(2, 3, {"a": 3}), _before(3, 2, {"u": 2})]
+
+CONVERSATION_SQL = f"""
+    with recursive base as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+    convs as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+    kinds as (select *, {_CRC} % 20 as kind from base),
+    rows_ as (
+        select c, kinds.conv_id, turn, case when kind = 4 then 'user' else role end as role,
+            case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+        from kinds join convs on kinds.conv_id is not distinct from convs.conv_id where kind <> 0),
+    sorted as (select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i from rows_),
+    placed as (select *, row_number() over (partition by c, role, text order by i) as seen, right(rtrim(text, {_TRIMMED}), 1) as tail, role[1:1] as x from sorted),
+    coded as (
+        select *, case when tail = '' then 'blank' when seen > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' else '' end as fault,
+            lag(x) over (partition by c order by i) as x_before from placed),
+    told as materialized (select c, i, x, fault in ('blank', 'duplicate') as must, case fault when 'truncated' then 5 else 0 end as t, role, text from coded),
+    report as (
+        select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+            count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where i > 1 and x_before || x not in ('su', 'ua', 'au')) as illegal, count(*) as n
+        from coded group by c),
+    back as (
+        select c, n + 1 as i, 0 as g0, 10 as g1, 5 as g2, 0 as g3 from report
+        union all
+        select c, i, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2) from (
+            select told.c, told.i, {", ".join(f"{b} as b{s}" for s, b in enumerate(_BARE))} from back join told on told.c = back.c and told.i = back.i - 1)),
+    costs as materialized (select c, i, [g0, g1, g2, g3] as g from back),
+    walk as (
+        select c, 1::bigint as i, 0 as s, '' as audit, []::varchar[] as lines, false as over from report
+        union all
+        select c, i + (e in ('D', 'K', 'R'))::int, case e when 'K' then case x when 's' then 1 when 'u' then 2 else 3 end when 'D' then s when '' then s else nx end, audit || e,
+            case e when 'D' then lines when '' then lines when 'I' then list_append(lines, nr || ':') when 'K' then list_append(lines, role || ':' || text) else list_append(lines, nr || ':' || text) end, e = ''
+        from (
+            select walk.*, told.x, told.role, told.text, case s when 2 then 3 else 2 end as nx, case s when 2 then 'assistant' else 'user' end as nr,
+                case when told.i is null and s in (0, 3) then ''
+                    when told.i is not null and h.g[s + 1] = 2 + a.g[s + 1] then 'D'
+                    when h.g[s + 1] = 5 + h.g[case s when 2 then 4 else 3 end] then 'I'
+                    when not must and x = case s when 2 then 'a' else 'u' end and h.g[s + 1] = t + a.g[case s when 2 then 4 else 3 end] then 'K'
+                    when not must and x = 's' and s = 0 and h.g[1] = t + a.g[2] then 'K'
+                    else 'R' end as e
+            from walk join costs h on h.c = walk.c and h.i = walk.i left join told on told.c = walk.c and told.i = walk.i left join costs a on a.c = walk.c and a.i = walk.i + 1
+            where not over))
+    select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+        coalesce(g[1], 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+    from convs left join report on report.c = convs.c left join costs on costs.c = convs.c and costs.i = 1 left join walk on walk.c = convs.c and over"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, infill, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, urlfilter
-from .common import shared_folder
+from . import decontaminate, infill, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, turns, urlfilter
+from .common import shared_folder, stash
 
 SHINGLE_OF_CONTRACT, PERCENT = 4, 80
 
@@ -85,6 +85,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"lists": F.array_join("lists", ","), "fetched_at": F.col("fetched_at").cast("timestamp_ntz")})
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conversations with a fault in a quarter of the rows, which follows from conv_id and turn."""
+    filled = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), (F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20).alias("kind"))
+    rows = rows.where("kind <> 0").withColumns(
+        {
+            "text": F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+            "role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role")),
+        }
+    )
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    report = stash(turns.structure(rows))
+    hashed = turns.digests(turns.repaired(rows, report))
+    ids = conversations.select("conv_id").distinct()
+    out = ids.join(report.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    out = out.join(hashed.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -93,7 +118,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter, op13_fill_in_middle)
+    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter, op11_conversation_repair, op13_fill_in_middle)
 }
 
 ORACLE_SQL = {
@@ -101,5 +126,6 @@ ORACLE_SQL = {
     "op3_line_dedup": oracles.line_dedup_sql(linededup.MIN_CHARS),
     "op6_near_dedup": oracles.near_dedup_sql(SHINGLE_OF_CONTRACT, PERCENT),
     "op10_url_filter": oracles.URL_FILTER_SQL,
+    "op11_conversation_repair": oracles.CONVERSATION_SQL,
     "op13_fill_in_middle": oracles.INFILL_SQL,
 }
