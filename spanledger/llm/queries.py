@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, infill, linededup, near_dedup, oracles, packing, pages, quality, substring, tokens, toxicity, turns, urlfilter
+from . import decontaminate, infill, linededup, near_dedup, oracles, packing, pages, prefix_join, quality, substring, tokens, toxicity, turns, urlfilter
 from .common import shared_folder, stash
 
-SHINGLE_OF_CONTRACT, PERCENT = 4, 80
+SHINGLE_OF_CONTRACT, PERCENT, JOIN_PERCENT = 4, 80, 85
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.similar_groups(_table(spark, sf_dir, "documents"), shingle=SHINGLE_OF_CONTRACT, percent=JOIN_PERCENT)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -118,7 +122,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter, op11_conversation_repair, op13_fill_in_middle)
+    for f in (op1_decontaminate, op2_quality, op3_line_dedup, op4_token_files, op5_toxicity, op6_near_dedup, op7_repeated_passages, op8_main_text, op9_packing, op10_url_filter, op11_conversation_repair, op12_ngram_join, op13_fill_in_middle)
 }
 
 ORACLE_SQL = {
@@ -127,5 +131,6 @@ ORACLE_SQL = {
     "op6_near_dedup": oracles.near_dedup_sql(SHINGLE_OF_CONTRACT, PERCENT),
     "op10_url_filter": oracles.URL_FILTER_SQL,
     "op11_conversation_repair": oracles.CONVERSATION_SQL,
+    "op12_ngram_join": f"select doc_id, n_shingles, component_id from ({oracles.near_dedup_sql(SHINGLE_OF_CONTRACT, JOIN_PERCENT)})",
     "op13_fill_in_middle": oracles.INFILL_SQL,
 }
