@@ -1,8 +1,9 @@
 """Bootstrap intervals and paired tests, metric by metric.
 
-Metrics of up to EXACT_ROWS values are resampled by a seeded Mersenne twister in the order of their examples, so that the same seed gives
-the same interval everywhere. Beyond that no task may hold a metric's values: each partition draws Poisson weights for all resamples and
-only their sums move.
+Metrics of up to EXACT_ROWS values are resampled by a seeded Mersenne twister in the order of their examples, so that the same seed gives the
+same interval everywhere. Beyond that no task may hold a metric's values: a hash of the key deals the examples to GROUPS groups, whose
+sums and counts are resampled instead. As groups are random parts of the rows, the ratio of the drawn sums has the variance of a resampled mean,
+to one part in the root of 2 * GROUPS, whatever the values are and however the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -18,26 +19,50 @@ from pyspark.sql import functions as F
 from .comparison import Z_ALPHA, Z_POWER, holm, mcnemar_p
 
 SEED, MEAN_RESAMPLES, PAIR_RESAMPLES, DELTA_RESAMPLES = 42, 10_000, 10_000, 5_000
-EXACT_ROWS = 20_000
+EXACT_ROWS = GROUPS = 20_000
+#: Ranges of a metric's values that are resampled by their sums where it has more than EXACT_ROWS different ones.
+BINS = 128
 LEAST_PAIRS = 5
+#: Resamples that are drawn at a time; bounds a task's memory.
+AT_ONCE = 64
 
 
-def twister_indexes(seed: int, n: int, count: int, skip: int = 0) -> np.ndarray:
-    """The next `count` draws of random.Random(seed).randrange(n), after `skip` others of the same n, in one go."""
-    state = random.Random(seed).getstate()[1]
-    bits = np.random.MT19937()
-    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
-    shift, out, have = np.uint64(32 - n.bit_length()), [], 0
-    while have < skip + count:
-        raw = bits.random_raw(min(1 << 20, 2 * (skip + count - have) + 64)) >> shift
-        out.append(raw[raw < n].astype(np.int64))
-        have += len(out[-1])
-    return np.concatenate(out)[skip : skip + count]
+class Twister:
+    """The draws of random.Random(seed).randrange(n), many at a time."""
+
+    def __init__(self, seed: int, n: int):
+        state = random.Random(seed).getstate()[1]
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+        self.n, self.shift, self.left = n, np.uint64(32 - n.bit_length()), np.zeros(0, dtype=np.int64)
+
+    def take(self, count: int) -> np.ndarray:
+        parts, have = [self.left], len(self.left)
+        while have < count:
+            raw = self.bits.random_raw(min(1 << 20, 2 * (count - have) + 64)) >> self.shift
+            parts.append(raw[raw < self.n].astype(np.int64))
+            have += len(parts[-1])
+        out = np.concatenate(parts)
+        self.left = out[count:]
+        return out[:count]
+
+
+def _blocks(resamples: int):
+    return [min(AT_ONCE, resamples - at) for at in range(0, resamples, AT_ONCE)]
 
 
 def resampled_means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    n = len(values)
-    return np.sort(values[twister_indexes(seed, n, resamples * n)].reshape(resamples, n).mean(axis=1))
+    n, draws = len(values), Twister(seed, len(values))
+    return np.sort(np.concatenate([values[draws.take(k * n)].reshape(k, n).mean(axis=1) for k in _blocks(resamples)]))
+
+
+def resampled_ratios(sums: np.ndarray, counts: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Means of resamples of groups, from the groups' sums and counts."""
+    rng, out = np.random.default_rng(seed), []
+    for k in _blocks(resamples):
+        drawn = rng.integers(0, len(sums), (k, len(sums)))
+        out.append(sums[drawn].sum(axis=1) / counts[drawn].sum(axis=1))
+    return np.sort(np.concatenate(out))
 
 
 def _mean_interval(means: np.ndarray, confidence: float) -> tuple[float, float]:
@@ -53,42 +78,27 @@ def _paired_interval(means: np.ndarray, confidence: float, alternative: str) ->
     return float(low), float(high), min(1.0, (extreme + 1) / (r + 1))
 
 
-def _poisson_sums(keys: list[str], resamples: int, seed: int):
-    """Each partition's sums and counts of all resamples."""
-
-    def run(frames):
-        for number, frame in enumerate(frames):
-            for key, own in frame.groupby(keys, dropna=False, sort=True):
-                rng = np.random.default_rng([seed, number, len(own), abs(hash(tuple(own["value"].iloc[:3]))) % 2**32])
-                total, count = np.zeros(resamples), np.zeros(resamples)
-                for at in range(0, len(own), 256):
-                    w = rng.poisson(1.0, (resamples, min(256, len(own) - at)))
-                    total += w @ own["value"].to_numpy()[at : at + 256]
-                    count += w.sum(axis=1)
-                yield pd.DataFrame({**dict(zip(keys, key)), "resample": np.arange(resamples), "total": total, "count": count})
-
-    return run
-
-
 def _means(rows: DataFrame, keys: list[str], order: list[str], resamples: int, seed: int, exact_rows: int, use, schema: str) -> DataFrame:
-    """use(sorted means of the resamples) for each key of rows(keys, value, order)."""
+    """use(sorted means of the resamples, values or None) for each key of rows(keys, value, order)."""
     rows = rows.where("value is not null")
     sized = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    small, large = (rows.join(F.broadcast(sized.where(c)), keys, "left_semi") for c in (f"_n <= {exact_rows}", f"_n > {exact_rows}"))
+    small, large = (rows.join(sized.where(c), keys) for c in (f"_n <= {exact_rows}", f"_n > {exact_rows}"))
     types = ", ".join(f"{k} string" for k in keys)
+    names = [c.split()[0] for c in f"{types}, {schema}".split(", ")]
 
     def exact(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame.sort_values(order)["value"].to_numpy(dtype=float)
-        return pd.DataFrame([[*frame[keys].iloc[0], *use(resampled_means(values, resamples, seed), values)]], columns=[c.split()[0] for c in f"{types}, {schema}".split(", ")])
+        return pd.DataFrame([[*frame[keys].iloc[0], *use(resampled_means(values, resamples, seed), values)]], columns=names)
 
-    def spread(frame: pd.DataFrame) -> pd.DataFrame:
-        means = np.sort((frame["total"] / frame["count"]).to_numpy())
-        return pd.DataFrame([[*frame[keys].iloc[0], *use(means, None)]], columns=[c.split()[0] for c in f"{types}, {schema}".split(", ")])
+    def grouped(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_group")
+        means = resampled_ratios(frame["_sum"].to_numpy(dtype=float), frame["_count"].to_numpy(dtype=float), resamples, seed)
+        return pd.DataFrame([[*frame[keys].iloc[0], *use(means, None)]], columns=names)
 
     out = small.select(*keys, "value", *order).groupBy(*keys).applyInPandas(exact, f"{types}, {schema}")
-    sums = large.select(*keys, "value").mapInPandas(_poisson_sums(keys, resamples, seed), f"{types}, resample int, total double, count double")
-    sums = sums.groupBy(*keys, "resample").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
-    return out.unionByName(sums.groupBy(*keys).applyInPandas(spread, f"{types}, {schema}"))
+    group = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in order]), F.lit(GROUPS))
+    sums = large.groupBy(*keys, group.alias("_group")).agg(F.sum("value").alias("_sum"), F.count("*").alias("_count"))
+    return out.unionByName(sums.groupBy(*keys).applyInPandas(grouped, f"{types}, {schema}"))
 
 
 def mean_intervals(scores: DataFrame, keys: list[str] = ("metric", "slice"), order: list[str] = ("example_id",), resamples: int = MEAN_RESAMPLES, confidence: float = 0.95, seed: int = SEED, exact_rows: int = EXACT_ROWS) -> DataFrame:
@@ -105,25 +115,45 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = PAIR_RESAMPLES, confiden
     return _means(pairs, ["metric"], ["example_id"], resamples, seed, exact_rows, lambda means, values: _paired_interval(means, confidence, alternative), "ci_low double, ci_high double, p double")
 
 
+def _binned(counts: DataFrame) -> DataFrame:
+    """counts(metric, side, value, n) to metric, side, n, mean and spread (variance times n) of each different value, or of
+    BINS even ranges of a metric that has more than EXACT_ROWS different ones."""
+    many = counts.groupBy("metric").agg(F.count("*").alias("_values"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    rows = counts.join(many, "metric")
+    exact = rows.where(f"_values <= {EXACT_ROWS}").select("metric", "side", "n", F.col("value").alias("mean"), F.lit(0.0).alias("spread"))
+    place = F.least(F.lit(BINS - 1), F.floor(F.try_divide(F.col("value") - F.col("_low"), F.col("_high") - F.col("_low")) * BINS))
+    ranges = rows.where(f"_values > {EXACT_ROWS}").withColumn("_bin", place).groupBy("metric", "side", "_bin")
+    total = F.sum("n")
+    ranges = ranges.agg(total.alias("n"), (F.sum(F.col("n") * F.col("value")) / total).alias("mean"), F.sum(F.col("n") * F.col("value") * F.col("value")).alias("_square"))
+    return exact.unionByName(ranges.select("metric", "side", "n", "mean", F.greatest(F.lit(0.0), F.col("_square") - F.col("n") * F.col("mean") * F.col("mean")).alias("spread")))
+
+
 def delta_intervals(candidate: DataFrame, baseline: DataFrame, resamples: int = DELTA_RESAMPLES, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
     """Unpaired bootstrap of the difference of means of two tables(metric, value), null below LEAST_PAIRS values on a side.
 
-    Only the counts of distinct values move: a resample of n values is a multinomial draw over them.
+    Only the counts of different values move: a resample of n values is a multinomial draw over them. Where they are more than EXACT_ROWS it is one
+    over ranges of them, with a normal term for what varies within the ranges; a task holds EXACT_ROWS numbers of a metric at most.
     """
     counts = lambda rows, side: rows.where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
-    both = counts(candidate, 1).unionByName(counts(baseline, 0))
+    both = _binned(counts(candidate, 1).unionByName(counts(baseline, 0)))
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         rng, means, sides = np.random.default_rng(seed), {}, {}
         for side in (1, 0):
-            own = frame[frame["side"] == side].sort_values("value")
-            sides[side] = int(own["n"].sum())
-            if sides[side]:
-                p = own["n"].to_numpy() / sides[side]
-                means[side] = rng.multinomial(sides[side], p, resamples) @ own["value"].to_numpy() / sides[side]
-        if min(sides.values()) < LEAST_PAIRS:
-            return pd.DataFrame([[frame["metric"].iloc[0], None, None]], columns=["metric", "ci_low", "ci_high"])
-        return pd.DataFrame([[frame["metric"].iloc[0], *_mean_interval(np.sort(means[1] - means[0]), confidence)]], columns=["metric", "ci_low", "ci_high"])
+            own = frame[frame["side"] == side].sort_values("mean")
+            n, mean = own["n"].to_numpy(dtype=np.int64), own["mean"].to_numpy()
+            sides[side] = total = int(n.sum())
+            if total:
+                within = own["spread"].to_numpy() / n
+                parts = []
+                for k in _blocks(resamples):
+                    drawn = rng.multinomial(total, n / total, k)
+                    parts.append(drawn @ mean / total)
+                    if within.any():
+                        parts[-1] = parts[-1] + rng.standard_normal(k) * np.sqrt(drawn @ within) / total
+                means[side] = np.concatenate(parts)
+        low, high = (None, None) if min(sides.values()) < LEAST_PAIRS else _mean_interval(np.sort(means[1] - means[0]), confidence)
+        return pd.DataFrame([[frame["metric"].iloc[0], low, high]], columns=["metric", "ci_low", "ci_high"])
 
     return both.groupBy("metric").applyInPandas(draw, "metric string, ci_low double, ci_high double")
 
@@ -167,7 +197,7 @@ def analyse(candidate: DataFrame, baseline: DataFrame, alpha: float = 0.05, orde
     )
     few = F.col("n") < LEAST_PAIRS
     found = found.withColumn("test", F.when(few, "insufficient_data").when(F.col("binary"), "mcnemar").otherwise("paired_bootstrap"))
-    drawn = paired_bootstrap(pairs.join(F.broadcast(found.where("test = 'paired_bootstrap'").select("metric")), "metric", "left_semi"))
+    drawn = paired_bootstrap(pairs.join(found.where("test = 'paired_bootstrap'").select("metric"), "metric", "left_semi"))
     p = F.when(F.col("test") == "mcnemar", mcnemar_p(F.col("lost"), F.col("won"))).otherwise(F.col("p"))
     tests = found.join(drawn.select("metric", "p"), "metric", "left").withColumn("p", p)
     mde = F.when(few, None).otherwise((Z_ALPHA + Z_POWER) * F.col("stddev") / F.sqrt("n"))

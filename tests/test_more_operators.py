@@ -21,7 +21,8 @@ def one(spark, column):
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_draws_are_those_of_the_seeded_generator(n):
     rng = random.Random(42)
-    assert significance.twister_indexes(42, n, 500).tolist() == [rng.randrange(n) for _ in range(500)]
+    draws = significance.Twister(42, n)
+    assert [*draws.take(123), *draws.take(377)] == [rng.randrange(n) for _ in range(500)]
 
 
 def test_bootstrap_of_a_mean_by_hand(spark):
