@@ -99,32 +99,55 @@ def page_structure(spark, sf):
     )
 
 
-_DENSE_SQL = "len(w) >= 32 and regexp_matches(w, '^[A-Za-z0-9+/=_-]+$') and (select -sum(n / len(w) * log2(n / len(w))) from (select count(*) as n from (select unnest(string_split(w, '')) as c) group by c)) >= 4.0"
-
-
-def _secrets_sql(column: str) -> str:
-    cases = " ".join(f"when regexp_matches({column}, '{p}') then regexp_replace({column}, '{p}', '{redaction.mark(n)}', 'g')" for n, p in redaction.SECRET_VALUES.items())
-    return f"case {cases} else dense end"
-
-
-@query(f"""with w as (select doc_id, i, w, {_DENSE_SQL} as bad from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents where regexp_matches(text, '[A-Za-z0-9+/=_-]{{32}}'))),
-    j as (select doc_id, string_agg(case when bad then '[REDACTED:entropy]' else w end, ' ' order by i) as joined from w group by doc_id), d as (select x.doc_id, text, coalesce(joined, text) as dense from documents x left join j on j.doc_id = x.doc_id)
-    select doc_id, sha256({_secrets_sql('text')}) as digest from d where text is not null""")
+_SECRETS_SQL = r"""
+    case when regexp_matches(text, '\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b') then regexp_replace(text, '\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b', '[REDACTED:jwt]', 'g')
+    when regexp_matches(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.+?-----END [A-Z ]*KEY-----') then regexp_replace(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.+?-----END [A-Z ]*KEY-----', '[REDACTED:pem]', 'g')
+    when regexp_matches(text, '\bsk-[\w-]{16,}\b') then regexp_replace(text, '\bsk-[\w-]{16,}\b', '[REDACTED:openai_key]', 'g')
+    when regexp_matches(text, '\b(ghp|gho|ghu|ghs|ghr|github_pat)_\w{16,}\b') then regexp_replace(text, '\b(ghp|gho|ghu|ghs|ghr|github_pat)_\w{16,}\b', '[REDACTED:github_token]', 'g')
+    when regexp_matches(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b') then regexp_replace(text, '\b(AKIA|ASIA)[0-9A-Z]{16}\b', '[REDACTED:aws_access_key]', 'g')
+    when regexp_matches(text, '\bAIza[\w-]{20,}\b') then regexp_replace(text, '\bAIza[\w-]{20,}\b', '[REDACTED:google_key]', 'g')
+    when regexp_matches(text, '\bxox[abposr]-[A-Za-z0-9-]{10,}\b') then regexp_replace(text, '\bxox[abposr]-[A-Za-z0-9-]{10,}\b', '[REDACTED:slack_token]', 'g')
+    when regexp_matches(text, '\b[sr]k_(live|test)_[A-Za-z0-9]{16,}\b') then regexp_replace(text, '\b[sr]k_(live|test)_[A-Za-z0-9]{16,}\b', '[REDACTED:stripe_key]', 'g')
+    when regexp_matches(text, '\bef_[a-z]+_[A-Za-z0-9]{4,}_[A-Za-z0-9]{16,}\b') then regexp_replace(text, '\bef_[a-z]+_[A-Za-z0-9]{4,}_[A-Za-z0-9]{16,}\b', '[REDACTED:ingest_key]', 'g')
+    when regexp_matches(text, '(?i)\bbearer\s+[\w.~+/-]{16,}=*') then regexp_replace(text, '(?i)\bbearer\s+[\w.~+/-]{16,}=*', '[REDACTED:bearer]', 'g')
+    else coalesce(masked, text) end"""
+
+
+@query(rf"""with words as (
+        select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select doc_id, list_filter(string_split_regex(text, '[\s\x0B\x85\pZ]+'), lambda w: w <> '') as ws from documents)),
+    letters as (select w, count(*) as n from (select w, unnest(string_split(w, '')) as c from (select distinct w from words where length(w) >= 32 and regexp_matches(w, '^[A-Za-z0-9+/=_-]+$'))) group by w, c),
+    bad as (select w from letters group by w having -sum(n / length(w) * log2(n / length(w))) >= 4.0),
+    joined as (select doc_id, string_agg(case when bad.w is not null then '[REDACTED:high_entropy]' else words.w end, ' ' order by i) as masked from words left join bad on bad.w = words.w group by doc_id having count(bad.w) > 0)
+    select d.doc_id, sha256({_SECRETS_SQL}) as digest from documents d left join joined on joined.doc_id = d.doc_id where text is not null""")
 def redact_secrets(spark, sf):
     d = _read(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", F.sha2(redaction.without_secrets(F.col("text")), 256).alias("digest"))
 
 
-@query("""select event_id, case when k % 3 = 0 then '{"user":{"password":"[REDACTED:key]","mail":"[REDACTED:email]"},"k":' || k || ',"list":["AKIA"]}' else '{"user":{"password":"[REDACTED:key]","mail":"none"},"k":' || k || ',"list":["AKIA"]}' end as text,
-    case when k % 3 = 0 then 2 else 1 end as changed, 0 as shortened from (select event_id, (props->>'$.k')::int as k from events)""")
-def redact_payload(spark, sf):
+def _bodies(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.struct(F.col("event_type").alias("password"), F.when(k % 3 == 0, "a.b@c.org").otherwise("none").alias("mail"))
-    rows = _read(spark, sf, "events").select("event_id", F.to_json(F.struct(user.alias("user"), k.alias("k"), F.array(F.lit("AKIA")).alias("list"))).alias("body"))
-    return rows.select("event_id", redaction.redacted_json(F.col("body"), personal=True).alias("r")).select("event_id", "r.*")
+    return _read(spark, sf, "events").select("event_id", F.to_json(F.struct(user.alias("user"), k.alias("k"), F.array(F.lit("AKIA")).alias("list"))).alias("body"))
+
+
+@query("""select event_id, '{"k":' || k || ',"list":["AKIA"],"user":{"mail":"' || case when k % 3 = 0 then '[REDACTED:email]' else 'none' end || '","password":"[REDACTED:secret_key]"}}' as text,
+    case when k % 3 = 0 then 2 else 1 end as changed, 0 as shortened from (select event_id, (props->>'$.k')::int as k from events)""")
+def redact_payload(spark, sf):
+    """Keys of the result are sorted, as those of VARIANT are."""
+    return _bodies(spark, sf).select("event_id", redaction.redacted_json(F.col("body"), personal=True).alias("r")).select("event_id", "r.*")
+
+
+@query("""select event_id, '{"k":' || case when k < 10 then '"[REDACTED:small]"' else k::varchar end || ',"list":["[REDACTED:path]"],"user":{"mail":"' || case when k % 3 = 0 then 'x@c.org' else 'none' end || '","password":"[REDACTED:secret_key]"}}' as text,
+    case when k % 3 = 0 then 3 else 2 end + case when k < 10 then 1 else 0 end as changed from (select event_id, (props->>'$.k')::int as k from events)""")
+def redact_by_rules(spark, sf):
+    """A chain of a user's: a path, a replacement that isn't a mask, a mask for some numbers, secret keys; a rule that comes behind a mask is not asked."""
+    rows = _bodies(spark, sf).withColumn("k", F.get_json_object("body", "$.k").cast("int"))
+    small = lambda path, text: F.when((path == "k") & (F.col("k") < 10), redaction.mark("small"))
+    chain = [redaction.below("list"), redaction.matching("a[.]b@", "x@"), small, redaction.secret_keys(), redaction.matching("REDACTED", "never")]
+    return rows.select("event_id", redaction.redacted_json(F.col("body"), redactors=chain).alias("r")).select("event_id", "r.text", "r.changed")
 
 
-@query("""select event_id, event_type as status, case when event_type = 'error' then '[REDACTED:key]' else 'x' end as held, case when greatest(1, k % 4 + 1, k % 3 + 1) = 1 then 'full' when greatest(1, k % 4 + 1, k % 3 + 1) = 2 then 'redacted' when greatest(1, k % 4 + 1, k % 3 + 1) = 3 then 'metadata_only' else 'disabled' end as mode
+@query("""select event_id, event_type as status, case when event_type = 'error' then '[REDACTED:secret_key]' else 'x' end as held, case when greatest(1, k % 4 + 1, k % 3 + 1) = 1 then 'full' when greatest(1, k % 4 + 1, k % 3 + 1) = 2 then 'redacted' when greatest(1, k % 4 + 1, k % 3 + 1) = 3 then 'metadata_only' else 'disabled' end as mode
     from (select event_id, event_type, (props->>'$.k')::int as k from events)""")
 def capture_modes(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")

@@ -98,12 +98,12 @@ def test_paths_and_payloads(spark):
 def test_secrets_in_texts_and_values(spark):
     key, blob = "ghp_" + "a1B2" * 5, "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A"
     clean = lambda t: one(spark, redaction.without_secrets(F.lit(t)))
-    assert clean(f"see {key} now") == "see [REDACTED:github_token] now" and clean(f"key {blob} end") == "key [REDACTED:entropy] end"
+    assert clean(f"see {key} now") == "see [REDACTED:github_token] now" and clean(f"key {blob} end") == "key [REDACTED:high_entropy] end"
     assert clean("sk-ant-" + "x" * 20) == "[REDACTED:openai_key]" and clean("plain words") == "plain words"
     body = {"Author": "x", "list": [{"note": f"use {key}"}], "n": 5, "deep": {"ssn": "1"}}
     row = one(spark, redaction.redacted_json(F.lit(json.dumps(body))))
-    assert json.loads(row["text"]) == {"Author": "[REDACTED:key]", "list": [{"note": "use [REDACTED:github_token]"}], "n": 5, "deep": {"ssn": "1"}} and row["changed"] == 2
-    assert json.loads(one(spark, redaction.redacted_json(F.lit(json.dumps(body)), personal=True))["text"])["deep"]["ssn"] == "[REDACTED:key]"
+    assert json.loads(row["text"]) == {"Author": "[REDACTED:secret_key]", "list": [{"note": "use [REDACTED:github_token]"}], "n": 5, "deep": {"ssn": "1"}} and row["changed"] == 2
+    assert json.loads(one(spark, redaction.redacted_json(F.lit(json.dumps(body)), personal=True))["text"])["deep"]["ssn"] == "[REDACTED:secret_key]"
     assert one(spark, redaction.redacted_json(F.lit("{}"), mode="disabled"))["text"] is None
     deep = "1"
     for _ in range(20):
