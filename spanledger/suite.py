@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import inspect
 import json
+import secrets
 from collections.abc import Callable, Iterator
 from importlib import import_module
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text, values
-from spanledger.operators import comparison, scores
+from spanledger.operators import comparison, corpus, judging, normalize, policy, scores, significance
 from spanledger.sources import suites
 
 SCORES = "example_id string, metric string, value double, passed boolean, label string, error string, own_slice map<string,string>"
@@ -130,7 +132,54 @@ def _built(name: str, spec: dict) -> Callable[[DataFrame], DataFrame]:
         listed = lambda c: values.ids(F.try_parse_json(c))
         score, _, _ = values.set_comparison(listed(got), listed(_field(spec, "expected", "expected")), spec.get("mode", "equals"))
         return column_evaluator(name, score == 1)
-    raise suites.SuiteError(f"{name}: {kind} is computed over the whole run, not example by example")
+    raise suites.SuiteError(f"{name}: {kind} can't score single examples")
+
+
+def judge_of(name: str, spec: dict, folder: Path) -> judging.Judge:
+    """A judge from its entry; the rubric may stand in a file beside the suite."""
+    rubric = spec.get("rubric") or ((folder / spec["rubric_path"]).read_text() if spec.get("rubric_path") else "")
+    if not rubric:
+        raise suites.SuiteError(f"{name}: no rubric")
+    scale = spec.get("scale") or {}
+    labels = tuple(spec.get("labels") or ())
+    try:
+        return judging.Judge(
+            name, rubric, spec.get("model") or "", tuple(spec.get("inputs") or ()), "classify" if labels else "rubric", (scale.get("min", 1), scale.get("max", 5)), scale.get("normalize", True),
+            labels, tuple(spec.get("passing_labels") or ()), spec.get("votes", 1), spec.get("seed", 42), spec.get("temperature", 0.0), spec.get("max_retries", 2),
+        )
+    except ValueError as error:
+        raise suites.SuiteError(str(error)) from error
+
+
+def judge_evaluator(judge: judging.Judge, client: Callable[[], judging.Client], salt: str, path: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A judge's scores. Its answers are kept below `path`, as metrics, slices and tests read the scores several times."""
+
+    def run(results: DataFrame) -> DataFrame:
+        rows = judging.judged(results, judge, client, salt, f"{path}/{judge.name}" if path else None)
+        return rows.select("example_id", "metric", "value", "passed", "label", "error", F.lit(None).cast("map<string,string>").alias("own_slice"))
+
+    return run
+
+
+def trajectory_evaluator(name: str, rules: policy.Policy, spans: Callable[[], DataFrame | None], kinds: dict[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A policy over the traces that results name by trace_id; an example without a trace, and one whose trace is incomplete, is an error."""
+
+    def run(results: DataFrame) -> DataFrame:
+        given = spans()
+        if given is None:
+            raise suites.SuiteError(f"{name} needs the spans of the run")
+        examples = results.select(F.col("example_id").cast("string").alias("example_id"), F.col("trace_id").cast("string").alias("trace_id"))
+        given = given.join(examples.select("trace_id").distinct(), "trace_id", "left_semi")
+        dropped = F.col("dropped_span_count") if "dropped_span_count" in results.columns else F.lit(0)
+        traces = results.where("trace_id is not null").groupBy(F.col("trace_id").cast("string").alias("trace_id")).agg(F.max(dropped).alias("dropped")).withColumn("metadata", F.create_map().cast("map<string,string>"))
+        events = normalize.events(given, rules.aliases, rules.span_types, rules.exclude)
+        state = normalize.merged_state(traces.withColumn("state", F.col("metadata")), normalize.deduped(given))
+        _, found = policy.evaluate(rules, events, policy.trace_facts(traces, events, state), normalize.incomplete(traces, given), kinds)
+        rows = examples.join(policy.as_scores(found, name).select(F.col("example_id").alias("trace_id"), "value", "error"), "trace_id", "left")
+        error = F.when(F.col("trace_id").isNull() | (F.col("value").isNull() & F.col("error").isNull()), "no trace").otherwise(F.col("error"))
+        return rows.select("example_id", F.lit(name).alias("metric"), "value", (F.col("value") == 1).alias("passed"), F.lit(None).cast("string").alias("label"), error.alias("error"), F.lit(None).cast("map<string,string>").alias("own_slice"))
+
+    return run
 
 
 class EvalSuite:
@@ -138,18 +187,35 @@ class EvalSuite:
 
     def __init__(self, name: str, slice_by: list[str] = ()):
         self.name, self.slice_by = name, list(slice_by)
+        self.spans: DataFrame | None = None
+        #: (metric, version) of the judges, and whether a gate on one of them needs a calibration
+        self.judges: list[tuple[str, str]] = []
+        self.calibrated = False
         self.evaluators: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.corpus: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.gates: dict[str, dict] = {}
         self.task_: Callable | None = None
 
     @classmethod
-    def from_file(cls, path: str, **options) -> EvalSuite:
-        raw = suites.load_suite(path, **options)
+    def from_file(cls, path: str, client: Callable[[], judging.Client] | None = None, salt: str | None = None, answers: str | None = None, **options) -> EvalSuite:
+        """A suite file with evaluators of any type. Judges ask `client()`; their answers are kept below `answers`."""
+        raw, folder = suites.load_suite(path, **options), Path(path).parent
         out = cls(raw["name"], (raw.get("execution") or {}).get("slice_by", []))
         for spec in raw.get("evaluators", []):
-            out.add(spec["name"], _built(spec["name"], spec))
+            name, kind = spec["name"], spec["type"]
+            if over_run := corpus.built(name, spec):
+                out.over_run(name, over_run)
+            elif kind == "llm_judge":
+                if client is None:
+                    raise suites.SuiteError(f"{name} is a judge and there is no client")
+                out.add(name, judge_evaluator(judge_of(name, spec, folder), client, salt or secrets.token_hex(16), answers))
+                out.judges.append((name, suites.version_hash(spec)))
+            elif kind == "trajectory":
+                out.add(name, trajectory_evaluator(name, policy.load_policy((folder / spec["policy"]).read_text()), lambda: out.spans, spec.get("kinds")))
+            else:
+                out.add(name, _built(name, spec))
         out.gates = raw.get("gates") or {}
+        out.calibrated = bool((raw.get("calibration") or {}).get("require"))
         return out
 
     def task(self, function: Callable) -> Callable:
@@ -217,17 +283,35 @@ class EvalSuite:
             out = make(results) if out is None else out.unionByName(make(results))
         return out
 
-    def verdicts(self, metrics: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    def verdicts(self, metrics: DataFrame, baseline: DataFrame | None = None, tests: DataFrame | None = None, calibrations: DataFrame | None = None) -> DataFrame:
+        """A row per gate, and one per gated judge where calibrations(metric, version, calibrated_at, satisfied) are given or required.
+
+        baseline: the metrics of the other run. tests: what significance.analyse() gave for the scores of both; it belongs to the unsliced metrics.
+        """
         spark = metrics.sparkSession
         rules = spark.createDataFrame(suites.gate_rules({"gates": self.gates}), suites.RULES)
         known = metrics.select("metric", "slice", F.col("mean").alias("value"), "n", "n_errors")
         before = baseline.select("metric", "slice", F.col("mean").alias("baseline")) if baseline is not None else known.limit(0).select("metric", "slice", F.lit(None).cast("double").alias("baseline"))
-        return comparison.evaluate_gates(rules, known.join(before, ["metric", "slice"], "left"))
+        known = known.join(before, ["metric", "slice"], "left")
+        if tests is not None:
+            known = known.join(tests.select("metric", F.lit("").alias("slice"), "mde", F.coalesce("p_adjusted", "p").alias("p")), ["metric", "slice"], "left")
+        out = comparison.evaluate_gates(rules, known)
+        if self.judges and (self.calibrated or calibrations is not None):
+            have = calibrations if calibrations is not None else spark.createDataFrame([], "metric string, version string, calibrated_at timestamp, satisfied boolean")
+            held = comparison.calibration_gates(rules, spark.createDataFrame(self.judges, "metric string, version string"), have, self.calibrated)
+            out = out.unionByName(held.select(F.concat("metric", F.lit("#calibration")).alias("rule"), "metric", F.lit("").alias("slice"), F.lit(None).cast("double").alias("value"), "clause", "verdict"))
+        return out
 
-    def evaluate(self, results: DataFrame, baseline: DataFrame | None = None) -> dict:
-        """The run's report, with verdict and exit code."""
+    def evaluate(self, results: DataFrame, baseline: DataFrame | None = None, spans: DataFrame | None = None, calibrations: DataFrame | None = None) -> dict:
+        """The run's report, with verdict and exit code. baseline: the results of another run, whose scores are paired with this one's and
+        tested, or only its metrics, for which gates that need a test are errors."""
         self.validate()
-        metrics = self.metrics(results)
-        report = suites.build_report(self.name, self.verdicts(metrics, baseline), metrics)
+        self.spans = spans if spans is not None else self.spans
+        metrics, tests = self.metrics(results), None
+        if baseline is not None and "example_id" in baseline.columns:
+            if self.evaluators:
+                tests = significance.analyse(self.scores(results), self.scores(baseline))
+            baseline = self.metrics(baseline)
+        report = suites.build_report(self.name, self.verdicts(metrics, baseline, tests, calibrations), metrics)
         suites.validate_report(report)
         return report
