@@ -12,9 +12,10 @@ a group; a group's lists are stored in a trie, whose edges hold runs of classes.
 overlaps that lists share up to a node are summed once, and a subtree is pruned for the queries whose overlap, with
 what remains of the query and of the subtree, can't reach what the lengths ask for. Weights make the overlap at a leaf exact.
 
-Large groups are cut into blocks. A first round takes each list's first classes, with one typical list in all blocks of a
+Large groups are cut into blocks. A first round takes three classes of each list, with one typical list in all blocks of a
 group. Only the groups that still have lists of different components go through the second round, which is complete: in
-a group of several blocks those that are not in its commonest component meet every block.
+a group of several blocks those that are not in its commonest component meet every block. Of small groups the lists are cut behind the classes
+that stand early enough, as documents come in many of these groups; pairs that their bounds leave are confirmed on whole lists.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blooms import as_filter
 from .common import gathered, id_text, mix64, slices, stash
 from .components import components
 from .near_dedup import shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 BLOCK = 256  # lists of a group in a task at a time
-FIRST = 3  # classes of each list in the first round
+SMALL = 64  # lists of a group that is searched by cut lists, its pairs confirmed one by one
 SEGMENT_ENTRIES = 4_000_000
 CELLS = 1 << 22  # of the matrix of queries and classes
 #: A key with more than 1 / SHARE of all rows is joined by a broadcast, of SHARE rows at most; the others have few rows each.
@@ -110,35 +112,64 @@ def _first_tokens(k: int, percent: int, segments: int):
     return run
 
 
-def _count_shared(batches):
-    """Rows come sorted by segment: how many tokens each set shares with others."""
+_PARTIAL = "part int, keys binary, shared binary"
+
+
+def _count_shared(parts: int):
+    """Rows come sorted by segment: how many tokens of a segment each set shares with others, packed by the part that sums the set's counts."""
 
     def close(rows: list[dict]):
         token, keys, often, met, times = (np.frombuffer(b"".join(r[c] for r in rows), dtype=d) for c, d in (("tokens", np.uint32), ("keys", np.uint64), ("often", np.uint32), ("met", np.uint64), ("times", np.int64)))
         order = np.lexsort((keys, token))
         token, keys = token[order], keys[order]
+        fresh = np.ones(len(token), dtype=bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (keys[1:] != keys[:-1])
+        token, keys = token[fresh], keys[fresh]  # pairs of token and set, once each
         bounds = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(bounds, len(token)))
-        last = bounds + size - 1
-        shared = (keys[bounds] != keys[last]) | np.isin(token[bounds], often)
-        found = keys[np.repeat(shared, size)]
-        fresh = np.ones(len(found), dtype=bool)
-        pairs = token[np.repeat(shared, size)]
-        fresh[1:] = (found[1:] != found[:-1]) | (pairs[1:] != pairs[:-1])
-        every, at = np.unique(np.concatenate((met, found[fresh])), return_inverse=True)
-        total = np.bincount(at, np.concatenate((times, np.ones(int(fresh.sum())))), len(every)).astype(np.int64)
-        return _columns(key=every.view(np.int64), shared=total)
-
-    now, rows = None, []
+        found = keys[np.repeat((size > 1) | np.isin(token[bounds], often), size)]
+        every, total = _summed(np.concatenate((met, found)), np.concatenate((times, np.ones(len(found), dtype=np.int64))))
+        part = (every % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        numbers, starts = np.unique(part[order], return_index=True)
+        packed = lambda x: pa.array([y.tobytes() for y in np.split(x[order], starts[1:])] if len(numbers) else [], pa.binary())
+        return _columns(part=pa.array(numbers, pa.int32()), keys=packed(every), shared=packed(total))
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["segment"] != now and rows:
+                    yield close(rows)
+                    rows = []
+                now = row["segment"]
+                rows.append(row)
+        if rows:
+            yield close(rows)
+
+    return run
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    every, at = np.unique(keys, return_inverse=True)
+    return every, np.bincount(at, counts, len(every)).astype(np.int64)
+
+
+def _sum_parts(batches):
+    """Rows come sorted by part: the sums of what the segments counted."""
+    now, keys, counts = None, [], []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["segment"] != now and rows:
-                yield close(rows)
-                rows = []
-            now = row["segment"]
-            rows.append(row)
-    if rows:
-        yield close(rows)
+            if row["part"] != now and keys:
+                every, total = _summed(np.concatenate(keys), np.concatenate(counts))
+                yield _columns(key=every.view(np.int64), shared=total)
+                keys, counts = [], []
+            now = row["part"]
+            keys.append(np.frombuffer(row["keys"], dtype=np.uint64))
+            counts.append(np.frombuffer(row["shared"], dtype=np.int64))
+    if keys:
+        every, total = _summed(np.concatenate(keys), np.concatenate(counts))
+        yield _columns(key=every.view(np.int64), shared=total)
 
 
 def _survivors(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -147,9 +178,24 @@ def _survivors(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -
     entries = signed.agg(F.sum(F.expr(limit))).first()[0] or 0
     segments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // SEGMENT_ENTRIES))
     packed = docs.select("text").mapInArrow(_first_tokens(shingle, percent, segments), _PACKED)
-    counts = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_count_shared, "key long, shared long")
+    counts = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_count_shared(segments), _PARTIAL)
+    counts = counts.repartition(segments, "part").sortWithinPartitions("part").mapInArrow(_sum_parts, "key long, shared long")
     reps = signed.groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    return reps.join(counts.groupBy("key").agg(F.sum("shared").alias("shared")), "key").where(f"shared >= greatest(1, {need_sql('n', percent)} div 10)").select("doc_id", "key", "n")
+    return reps.join(counts, "key").where(f"shared >= greatest(1, {need_sql('n', percent)} div 10)").select("doc_id", "key", "n")
+
+
+def _of_survivors(docs: DataFrame, survivors: DataFrame) -> DataFrame:
+    """docs without most of those that are no survivors, so that few texts move; all of docs if the survivors are too many for a filter."""
+    held = as_filter(survivors.select(F.col("doc_id").alias("hash")))
+    if held is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(held.value.has(ids), pa.bool_()))
+
+    return docs.mapInArrow(run, "doc_id long, text string")
 
 
 def need_sql(n: str, percent: int) -> str:
@@ -195,11 +241,12 @@ def _class_lists(sets: DataFrame, survivors: DataFrame, percent: int) -> DataFra
     return stash(lists.where(f"aggregate(weights, 0L, (a, w) -> a + w) >= {need_sql('n', percent)}"))
 
 
-_PREFIX = "item long, doc_id long, key long, place int, short boolean, lone double"
+_PREFIX = "item long, doc_id long, key long, first boolean, short boolean, lone double"
 
 
 def _prefix_rows(percent: int):
-    """The classes that stand early enough in a list: place among them, and whether that holds for the smaller set of a pair too."""
+    """The classes that stand early enough in a list: whether they are in the first round, and whether they would be early for the smaller set
+    of a pair too. The first round takes the rarest class, which ties pairs, and the commonest and the middle one, which tie larger groups."""
 
     def run(batches):
         for batch in batches:
@@ -208,8 +255,10 @@ def _prefix_rows(percent: int):
                 n, w = n.as_py(), weights.values.to_numpy()
                 at = n - w.sum() + np.cumsum(w) - w  # shingles before each class, those of this set alone first
                 count = int(np.searchsorted(at, n - need(n, percent), side="right"))
+                place = np.arange(count)
+                first = (place == 0) | (place == count // 2) | (place == count - 1)
                 short = at[:count] <= n - (2 * percent * n + 99 + percent) // (100 + percent)
-                out.append(_columns(item=items.values.slice(0, count), doc_id=pa.repeat(doc, count), key=pa.repeat(key, count), place=np.arange(count, dtype=np.int32), short=short, lone=np.full(count, (n - w.sum()) / n)))
+                out.append(_columns(item=items.values.slice(0, count), doc_id=pa.repeat(doc, count), key=pa.repeat(key, count), first=first, short=short, lone=np.full(count, (n - w.sum()) / n)))
             if out:
                 yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else out[0]
 
@@ -217,13 +266,14 @@ def _prefix_rows(percent: int):
 
 
 class Trie:
-    """Lists of classes (ascending numbers) as a trie with runs of classes on its edges."""
+    """Lists of classes (ascending numbers) as a trie with runs of classes on its edges; a list may stop before its set does, `tails` is what is behind."""
 
-    def __init__(self, lists: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray):
+    def __init__(self, lists: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray, tails: np.ndarray | None = None):
+        tails = np.zeros(len(lists), dtype=np.int64) if tails is None else tails
         order = sorted(range(len(lists)), key=lambda i: lists[i].astype(">i8").tobytes())
         self.order, self.lists, self.n = order, [lists[i] for i in order], n[order]
         #: of each list: weight behind each number of classes
-        self.rest = [np.append(np.cumsum(weights[i][::-1])[::-1], 0) for i in order]
+        self.rest = [np.append(np.cumsum(weights[i][::-1])[::-1], 0) + tails[i] for i in order]
         #: classes that each list has in common with the one before
         self.common = [0] + [self._common(a, b) for a, b in zip(self.lists, self.lists[1:])]
 
@@ -234,7 +284,8 @@ class Trie:
         return int(differ[0]) if len(differ) else m
 
     def search(self, overlap: np.ndarray, left: np.ndarray, sizes: np.ndarray, percent: int):
-        """Pairs (query, list) that link. overlap[q, v] is the weight of class v if the query holds it; left[q, v] what it holds from v on."""
+        """Pairs (query, list) that link, or may do so by what is behind the ends of lists. overlap[q, v] is the weight of class v if the query
+        holds it; left[q, v] what it holds from v on."""
         stack = [(0, len(self.lists), 0, np.arange(len(sizes)), np.zeros(len(sizes), dtype=np.int64))]
         while stack:
             lo, hi, depth, who, sums = stack.pop()
@@ -252,7 +303,8 @@ class Trie:
                 continue
             at = lo
             while at < hi and len(self.lists[at]) == to:  # lists that end here are the first ones
-                for q in who[(100 + percent) * sums >= percent * (sizes[who] + self.n[at])].tolist():
+                total = sums + np.minimum(left[who, last], self.rest[at][to])
+                for q in who[(100 + percent) * total >= percent * (sizes[who] + self.n[at])].tolist():
                     yield q, self.order[at]
                 at += 1
             while at < hi:
@@ -263,41 +315,63 @@ class Trie:
                 at = end
 
 
-def group_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Links between lists of different labels in a group, as few as connect the labels that they connect."""
-    stored, asked = [r for r in rows if r["stored"]], [r for r in rows if r["asked"]]
+def _found(stored: list[dict], asked: list[dict], percent: int):
+    """Pairs (row asked, row stored) of different labels that link, or may if lists are cut."""
     if not stored or not asked:  # a block of an even split by hash may have got none
-        return []
+        return
     arrays = [np.asarray(r["items"], dtype=np.int64) for r in stored]
     classes = np.unique(np.concatenate(arrays))
-    trie = Trie([np.searchsorted(classes, x) for x in arrays], [np.asarray(r["weights"], dtype=np.int64) for r in stored], np.array([r["n"] for r in stored], dtype=np.int64))
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    found, step = [], max(1, CELLS // (len(classes) + 1))
+    numbers = lambda rows, c: np.array([r[c] for r in rows], dtype=np.int64)
+    trie = Trie([np.searchsorted(classes, x) for x in arrays], [np.asarray(r["weights"], dtype=np.int64) for r in stored], numbers(stored, "n"), numbers(stored, "tail"))
+    step = max(1, CELLS // (len(classes) + 1))
     for at in range(0, len(asked), step):
         part = asked[at : at + step]
-        overlap = np.zeros((len(part), len(classes) + 1), dtype=np.int64)
+        overlap, left = (np.zeros((len(part), len(classes) + 1), dtype=np.int64) for _ in range(2))
         for q, row in enumerate(part):
             items, weights = np.asarray(row["items"], dtype=np.int64), np.asarray(row["weights"], dtype=np.int64)
             place = np.minimum(np.searchsorted(classes, items), len(classes) - 1)
             held = classes[place] == items
             overlap[q, place[held]] = weights[held]
-        left = np.cumsum(overlap[:, ::-1], axis=1)[:, ::-1]
-        for q, i in trie.search(overlap, left, np.array([r["n"] for r in part], dtype=np.int64), percent):
-            a, b = root(part[q]["label"]), root(stored[i]["label"])
-            if a != b:
-                parent[a] = b
-                found.append((part[q]["doc_id"], stored[i]["doc_id"]))
+            rest = np.append(np.cumsum(weights[::-1])[::-1], 0) + row["tail"]
+            left[q, 1:] = rest[np.searchsorted(items, classes, side="right")]  # behind class v, at v + 1
+            left[q, 0] = rest[0]
+        for q, i in trie.search(overlap, left, numbers(part, "n"), percent):
+            if part[q]["label"] != stored[i]["label"]:
+                yield part[q], stored[i]
+
+
+def group_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between lists of different labels in a group, as few as connect the labels that they connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for x, y in _found([r for r in rows if r["stored"]], [r for r in rows if r["asked"]], percent):
+        a, b = root(x["label"]), root(y["label"])
+        if a != b:
+            parent[a] = b
+            found.append((x["doc_id"], y["doc_id"]))
     return found
 
 
-def _links(percent: int):
+def group_candidates(rows: list[dict], percent: int) -> list[tuple[int, int, int, int]]:
+    """Pairs that may link by their cut lists, in the group of the first class that both hold only."""
+    out = []
+    for x, y in _found([r for r in rows if r["stored"]], [r for r in rows if r["asked"]], percent):
+        a, b = sorted(((x["doc_id"], x["key"]), (y["doc_id"], y["key"])))
+        if np.intersect1d(x["items"], y["items"], assume_unique=True)[0] == x["item"]:
+            out.append((*a, *b))
+    return out
+
+
+def _by_group(use, schema: str, percent: int):
     """Rows come sorted by group: item, index block and query block."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    made = lambda found: _columns(**{n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*found) if found else [()] * len(names))})
 
     def run(batches):
         now, rows = None, []
@@ -306,25 +380,45 @@ def _links(percent: int):
             for row in batch.to_pylist():
                 group = row["item"], row["i"], row["j"]
                 if group != now and rows:
-                    out += group_links(rows, percent)
+                    out += use(rows, percent)
                     rows = []
                 now = group
                 rows.append(row)
-            yield _pairs(out)
-        yield _pairs(group_links(rows, percent) if rows else [])
+            yield made(out)
+        yield made(use(rows, percent) if rows else [])
 
     return run
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    u, v = zip(*found) if found else ((), ())
-    return _columns(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
+_CANDIDATES = "u long, key_u long, v long, key_v long"
+
 
+def _grouped(members: DataFrame, lists: DataFrame, use, schema: str, percent: int) -> DataFrame:
+    """use() over the groups (item, i, j) of members, with their lists(doc_id, key, n, tail, items, weights)."""
+    full = members.join(lists, ["doc_id", "key"])
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # their bytes don't tell what the groups cost
+    return full.repartition(partitions, "item", "i", "j").sortWithinPartitions("item", "i", "j").mapInArrow(_by_group(use, schema, percent), schema)
 
-def _joined(members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Links among members(item, i, j, stored, asked, doc_id, key, label)."""
-    full = members.join(lists.select("doc_id", "key", "n", "items", "weights"), ["doc_id", "key"])
-    return stash(full.repartition("item", "i", "j").sortWithinPartitions("item", "i", "j").mapInArrow(_links(percent), "u long, v long"))
+
+def _confirm(percent: int):
+    """Pairs of whole lists: those whose common weight is enough."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            keep = []
+            for r in rows:
+                _, a, _ = np.intersect1d(np.asarray(r["items"], dtype=np.int64), np.asarray(r["other"], dtype=np.int64), assume_unique=True, return_indices=True)
+                keep.append((100 + percent) * int(np.asarray(r["weights"], dtype=np.int64)[a].sum()) >= percent * (r["n"] + r["n_other"]))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    left = lists.select(F.col("doc_id").alias("u"), F.col("key").alias("key_u"), "n", "items", "weights")
+    right = lists.select(F.col("doc_id").alias("v"), F.col("key").alias("key_v"), F.col("n").alias("n_other"), F.col("items").alias("other"))
+    return stash(pairs.join(left, ["u", "key_u"]).join(right, ["v", "key_v"]).select("u", "v", "n", "n_other", "items", "weights", "other").mapInArrow(_confirm(percent), "u long, v long"))
 
 
 def _block(count: str) -> str:
@@ -332,12 +426,13 @@ def _block(count: str) -> str:
 
 
 def _first_round(prefix: DataFrame, lists: DataFrame, total: int, percent: int) -> DataFrame:
-    rows = prefix.where(F.col("place") < FIRST).select("item", "doc_id", "key", "lone")
+    rows = prefix.where("first").select("item", "doc_id", "key", "lone")
     groups = stash(rows.groupBy("item").agg(F.count("*").alias("m"), F.min(F.struct("lone", "doc_id", "key")).alias("typical")).where("m > 1"))
     rows = _keyed_join(rows, groups.select("item", "m"), "item", "m", total).select("item", F.expr(_block("m")).alias("i"), "doc_id", "key")
     more = groups.where(F.col("m") > BLOCK).select("item", F.explode(F.expr(f"sequence(0, cast((m - 1) div {BLOCK} as int))")).alias("i"), "typical.doc_id", "typical.key")
     members = rows.unionByName(more).distinct()
-    return _joined(members.select("*", F.lit(0).alias("j"), F.lit(True).alias("stored"), F.lit(True).alias("asked"), F.col("doc_id").alias("label")), lists, percent)
+    whole = lists.select("doc_id", "key", "n", F.lit(0).alias("tail"), "items", "weights")
+    return stash(_grouped(members.select("*", F.lit(0).alias("j"), F.lit(True).alias("stored"), F.lit(True).alias("asked"), F.col("doc_id").alias("label")), whole, group_links, "u long, v long", percent))
 
 
 def _second_round(prefix: DataFrame, lists: DataFrame, groups: DataFrame, total: int, percent: int) -> DataFrame:
@@ -347,12 +442,19 @@ def _second_round(prefix: DataFrame, lists: DataFrame, groups: DataFrame, total:
     kinds = each.groupBy("item").agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main"), F.bool_or("short").alias("short"))
     kinds = stash(kinds.where("labels > 1 and short").select("item", "m", F.col("main.label").alias("main"), F.expr("m - main.n").alias("others")))
     rows = stash(_keyed_join(rows.drop("short"), kinds, "item", "m", total))
-    small = rows.where(F.col("m") <= BLOCK).select("item", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("stored"), F.lit(True).alias("asked"), "doc_id", "key", "label")
+    whole = lists.select("doc_id", "key", "n", F.lit(0).alias("tail"), "items", "weights")
+    one_block = lambda when: rows.where(when).select("item", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("stored"), F.lit(True).alias("asked"), "doc_id", "key", "label")
     large = rows.where(F.col("m") > BLOCK)
     every = lambda count: F.explode(F.expr(f"sequence(0, cast(({count} - 1) div {BLOCK} as int))"))
     stored = large.select("item", F.expr(_block("m")).alias("i"), every("others").alias("j"), F.lit(True).alias("stored"), F.lit(False).alias("asked"), "doc_id", "key", "label")
     asked = large.where("label <> main").select("item", every("m").alias("i"), F.expr(_block("others")).alias("j"), F.lit(False).alias("stored"), F.lit(True).alias("asked"), "doc_id", "key", "label")
-    return _joined(small.unionByName(stored).unionByName(asked), lists, percent)
+    members = one_block((F.col("m") > SMALL) & (F.col("m") <= BLOCK)).unionByName(stored).unionByName(asked)
+    links = stash(_grouped(members, whole, group_links, "u long, v long", percent))
+
+    early = F.expr(f"cast(aggregate(weights, named_struct('at', n - aggregate(weights, 0L, (a, w) -> a + w), 'k', 0), (a, w) -> named_struct('at', a.at + w, 'k', a.k + if(a.at <= n - {need_sql('n', percent)}, 1, 0)), a -> a.k) as int)")
+    cut = lists.withColumn("k", early).select("doc_id", "key", "n", F.expr("aggregate(slice(weights, k + 1, size(weights)), 0L, (a, w) -> a + w)").alias("tail"), F.expr("slice(items, 1, k)").alias("items"), F.expr("slice(weights, 1, k)").alias("weights"))
+    pairs = stash(_grouped(one_block(F.col("m") <= SMALL), cut, group_candidates, _CANDIDATES, percent).distinct())
+    return links.unionByName(_confirmed(pairs, lists, percent))
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -373,7 +475,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     copies = _keyed_join(full.select("doc_id", "key", F.col("key2").alias("own2")), equal, "key", "copies", rows).where("own2 = key2 and doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
 
     survivors = stash(_survivors(docs, full, shingle, percent))
-    texts = docs.join(survivors.select("doc_id", "key"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
+    texts = _of_survivors(docs, survivors).join(survivors.select("doc_id", "key"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
     sets = stash(texts.select("key", "text").mapInArrow(_sets(shingle), "key long, shingles binary"), compression="none")
     lists = _class_lists(sets, survivors, percent)
     prefix = stash(lists.mapInArrow(_prefix_rows(percent), _PREFIX))

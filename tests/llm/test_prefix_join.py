@@ -66,6 +66,7 @@ def rows():
 def test_groups_against_all_pairs(spark, rows, monkeypatch, block, share, percent, k):
     monkeypatch.setattr(prefix_join, "BLOCK", block)
     monkeypatch.setattr(prefix_join, "SHARE", share)
+    monkeypatch.setattr(prefix_join, "SMALL", min(64, block // 2))
     docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
     got = prefix_join.similar_groups(docs, k, percent).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_force(rows, k, percent)
