@@ -213,3 +213,24 @@ def located(citations: DataFrame, references: DataFrame, slack: int = 8) -> Data
     near = citations.join(right, ["doc", "anchor"]).where((F.col("page") == F.col("_page")) & (F.abs(F.col("offset") - F.col("_offset")) <= slack))
     hits = near.select("doc", "anchor", "page", "offset").distinct().withColumn("found", F.lit(True))
     return citations.join(hits, ["doc", "anchor", "page", "offset"], "left").fillna(False, ["found"])
+
+
+def evaluations_of(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
+    """A trace's online evaluations(trace_id, rule_id, verdict, created_at) with what their rules are called; a rule that is gone leaves its id.
+    `place` counts those of a trace from the newest."""
+    named = evaluations.join(rules.select("rule_id", F.col("name").alias("_name"), "enabled"), "rule_id", "left")
+    newest = Window.partitionBy("trace_id").orderBy(F.desc("created_at"), "rule_id")
+    return named.withColumn("rule", F.coalesce("_name", F.col("rule_id").cast("string"))).withColumn("place", F.row_number().over(newest)).drop("_name")
+
+
+def sourced_claims(claims: DataFrame, documents: DataFrame, source: str = "source_id") -> DataFrame:
+    """claims(claim_id, source_id, ...) with `title` of the document that they cite, and `grounded`: whether it is there."""
+    held = documents.select(F.col("doc_id").alias(source), "title", F.lit(True).alias("_there")).dropDuplicates([source])
+    return claims.join(held, source, "left").withColumn("grounded", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def outside_vocabulary(rows: DataFrame, keys: list[str], word: str, approved: list[str]) -> DataFrame:
+    """Per key whether all its words are approved ones, and the others in order."""
+    used = rows.where(F.col(word).isNotNull()).select(*keys, word).distinct()
+    others = F.array_sort(F.collect_list(F.when(~F.col(word).isin(approved), F.col(word))))
+    return used.groupBy(*keys).agg(others.alias("others")).withColumn("approved", F.size("others") == 0)

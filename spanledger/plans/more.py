@@ -221,15 +221,41 @@ def delta_intervals(spark, sf):
     return _rounded(significance.delta_intervals(_run(spark, sf, 2), _run(spark, sf, 1)), 9)
 
 
-_TESTED = """[('a', 'm1', 0.01, null, true, null), ('b', 'm2', 0.01, null, true, null), ('c', 'm3', 0.05, null, true, null), ('d', 'm3', 0.01, null, false, 0.05), ('e', 'm4', 0.01, 0.01, false, 0.05), ('f', 'm1', 0.01, null, false, 0.05), ('g', 'm3', null, 0.01, true, 0.05)]"""
+def _rule_scores(spark, sf, least: int) -> DataFrame:
+    """Whether a document's quality is what its length says, by source."""
+    d = _read(spark, sf, "documents").select("doc_id", "source", "n_chars").join(_read(spark, sf, "labels"), "doc_id")
+    hit = (F.when(F.col("n_chars") >= least, 1).otherwise(0) == F.col("quality")).cast("double")
+    return d.where("source is not null and quality is not null").select(F.col("source").alias("metric"), F.col("doc_id").alias("example_id"), hit.alias("value"))
+
+
+@query("""with s as (select source as metric, (case when n_chars >= 700 then 1 else 0 end = quality)::int as v, (case when n_chars >= 400 then 1 else 0 end = quality)::int as b
+        from documents d join labels l on l.doc_id = d.doc_id where source is not null and quality is not null),
+    m as (select metric, count(*) as n, avg(v) as value, avg(b) as baseline, coalesce(stddev_samp(v - b), 0) as sd, count(*) filter (where b = 1 and v = 0) as lost, count(*) filter (where b = 0 and v = 1) as won from s group by metric),
+    t as (select *, case when n >= 5 then (1.6448536269514722 + 0.8416212335729143) * sd / sqrt(n) end as mde, case when n < 5 then null when lost + won = 0 then 1.0 else
+        least(1.0, (select sum(exp(lgamma(lost + won + 1) - lgamma(k + 1) - lgamma(lost + won - k + 1) - (lost + won) * ln(2))) from range(lost, lost + won + 1) as r(k))) end as p from m),
+    c as (
+        select metric || ':power' as rule, case when mde is null then 'power_unknown' when mde > 0.02 then 'underpowered' when baseline - value > 0.02 then 'regression' else 'ok' end as clause from t
+        union all select metric || ':test', case when baseline - value > 0.02 then case when p is null then 'significance_unavailable' when p > 0.05 then 'not_significant' else 'regression' end else 'ok' end from t
+        union all select metric || ':relative', case when (baseline - value) / nullif(abs(baseline), 0) > 0.05 then 'relative_regression' else 'ok' end from t)
+    select rule, clause, case when clause in ('ok', 'not_significant') then 'pass' when clause in ('regression', 'relative_regression') then 'fail' else 'error' end as verdict from c""")
+def significance_gates(spark, sf):
+    """Each source gated three ways: by power, by significance, by a relative drop."""
+    candidate, baseline = _rule_scores(spark, sf, 700), _rule_scores(spark, sf, 400)
+    tests = comparison.paired(candidate, baseline).select("metric", "mde", F.when(F.col("n") >= 5, comparison.mcnemar_p(F.col("lost"), F.col("won"))).alias("p"))
+    means = lambda rows, name: rows.groupBy("metric").agg(F.avg("value").alias(name), F.count("*").alias(f"n_{name}"))
+    metrics = means(candidate, "value").join(means(baseline, "baseline"), "metric").join(tests, "metric", "left")
+    metrics = metrics.select("metric", F.lit("").alias("slice"), "value", F.col("n_value").alias("n"), F.lit(0).alias("n_errors"), "baseline", "mde", "p")
+    none = lambda kind: F.lit(None).cast(kind)
 
+    def rules(name: str, drop, relative, power: bool, alpha) -> DataFrame:
+        number = lambda x: F.lit(x).cast("double")
+        return metrics.select(
+            F.concat("metric", F.lit(f":{name}")).alias("rule"), "metric", "slice", none("double").alias("minimum"), none("double").alias("maximum"), number(drop).alias("max_regression"), number(relative).alias("max_relative"),
+            F.lit(False).alias("require_baseline"), none("double").alias("max_error_rate"), F.lit(True).alias("blocking"), F.lit(power).alias("require_power"), number(alpha).alias("significance"),
+        )
 
-@query("select * from (values ('a', 'power_unknown', 'error'), ('b', 'underpowered', 'error'), ('c', 'ok', 'pass'), ('d', 'regression', 'fail'), ('e', 'not_significant', 'pass'), ('f', 'significance_unavailable', 'error'), ('g', 'relative_regression', 'fail')) t(rule, clause, verdict)")
-def significance_gates(spark, sf):
-    rows = [("a", "m1", 0.01, None, True, None), ("b", "m2", 0.01, None, True, None), ("c", "m3", 0.05, None, True, None), ("d", "m3", 0.01, None, False, 0.05), ("e", "m4", 0.01, 0.01, False, 0.05), ("f", "m1", 0.01, None, False, 0.05), ("g", "m3", None, 0.01, True, 0.05)]
-    rules = spark.createDataFrame([(r, m, "", None, None, a, b, False, None, True, p, s) for r, m, a, b, p, s in rows], "rule string, metric string, slice string, minimum double, maximum double, max_regression double, max_relative double, require_baseline boolean, max_error_rate double, blocking boolean, require_power boolean, significance double")
-    metrics = spark.createDataFrame([("m1", "", 0.80, 40, 0, 0.83, None, None), ("m2", "", 0.80, 40, 0, 0.80, 0.101, 0.6), ("m3", "", 0.80, 400, 0, 0.83, 0.008, 0.001), ("m4", "", 0.80, 40, 0, 0.83, 0.101, 0.35)], "metric string, slice string, value double, n long, n_errors long, baseline double, mde double, p double")
-    return comparison.evaluate_gates(rules, metrics).select("rule", "clause", "verdict")
+    every = rules("power", 0.02, None, True, None).unionByName(rules("test", 0.02, None, False, 0.05)).unionByName(rules("relative", None, 0.05, False, None))
+    return comparison.evaluate_gates(every, metrics).select("rule", "clause", "verdict")
 
 
 @query("""with s as (select source, count(*) as n, max(n_chars) as most, min(n_chars) as least from documents group by source)
@@ -242,10 +268,14 @@ def calibration_gate(spark, sf):
     return comparison.calibration_gates(s.select(F.col("source").alias("metric")), judges, records.unionByName(older), required=True)
 
 
-@query("select * from (values ('a', 'no condition'), ('b', 'minimum above maximum')) t(rule, reason)")
+@query("""with s as (select source, count(*) as n, avg(n_chars) as mean, max(n_chars) / 8.0 as top from documents where source is not null group by source)
+    select source as rule, case when n % 3 = 0 then 'no condition' else 'minimum above maximum' end as reason from s where n % 3 = 0 and n % 2 = 1 or n % 3 > 0 and mean > top""")
 def gate_rule_validation(spark, sf):
-    rules = spark.createDataFrame([("a", None, None, None, None, None, False), ("b", 0.9, 0.1, None, None, None, False), ("c", 0.1, 0.9, None, None, None, False), ("d", None, None, None, None, None, True)], "rule string, minimum double, maximum double, max_regression double, max_relative double, max_error_rate double, require_baseline boolean")
-    return comparison.invalid_rules(rules)
+    """A rule for each source, whose bounds follow from the lengths of its documents."""
+    s = _read(spark, sf, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), (F.max("n_chars") / 8).alias("top"))
+    given = lambda c: F.when(F.col("n") % 3 > 0, F.col(c)).alias({"mean": "minimum", "top": "maximum"}[c])
+    none = [F.lit(None).cast("double").alias(c) for c in ("max_regression", "max_relative", "max_error_rate")]
+    return comparison.invalid_rules(s.select(F.col("source").alias("rule"), given("mean"), given("top"), *none, (F.col("n") % 2 == 0).alias("require_baseline")))
 
 
 @query("""with s as (select source, string_agg(text, chr(10) order by doc_id) as t from documents where source in ('src1', 'src2', 'src3') group by source)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanledger.functions import predicates
 from spanledger.functions.values import canonical_json
 
 
@@ -58,3 +59,35 @@ def csv_examples(spark: SparkSession, path: str) -> DataFrame:
     plain = [c for c in rows.columns if "." not in c and c != "id"]
     given = pairs(group("input"), 6) if group("input") else pairs(plain, 0)
     return rows.select(F.col("id") if "id" in rows.columns else F.lit(None).cast("string").alias("id"), given.alias("input"), pairs(group("expected"), 9).alias("expected"), pairs(group("metadata"), 9).alias("metadata"))
+
+
+def filtered(examples: DataFrame, predicate: str | None = None, names: dict[str, tuple[Column, str]] | None = None, ids: DataFrame | None = None, limit: int | None = None, order: str = "ordinal") -> DataFrame:
+    """Examples that a predicate (see functions.predicates; names: what its words are, and of which kind) holds for, those of ids(id), the first
+    `limit` of them in the dataset's order."""
+    out = examples
+    if predicate is not None:
+        out = out.where(predicates.compile_predicate(predicate, names or {}))
+    if ids is not None:
+        out = out.join(ids.select("id").distinct(), "id", "left_semi")
+    return out if limit is None else out.orderBy(order).limit(limit)
+
+
+def left_to_run(examples: DataFrame, journal: DataFrame, again: tuple[str, ...] = ("error", "timeout")) -> DataFrame:
+    """Examples(id, ...) that a run which goes on still has to do: all but those that its journal(example_id, status) has as done.
+    Statuses of `again` are done anew."""
+    done = journal.where(~F.col("status").isin(*again)).select(F.col("example_id").alias("id")).distinct()
+    return examples.join(done, "id", "left_anti")
+
+
+def in_dataset_order(results: DataFrame, examples: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Results(example_id, ...) sorted as their examples(id, ordinal) are, range by range; results of other examples come last, by id."""
+    placed = results.join(examples.select(F.col("id").alias("example_id"), F.col(order).alias("_order")), "example_id", "left")
+    return placed.orderBy(F.asc_nulls_last("_order"), "example_id").drop("_order")
+
+
+def value_chunks(scores: DataFrame, examples: DataFrame, order: str = "ordinal", size: int = 1000) -> DataFrame:
+    """scores(metric, example_id, value) to metric, chunk, n and values: a metric's values in the order of the dataset, those of `size` ordinals
+    in one row, so that no row grows with the dataset. Several scores of an example stand by value; values that are null are left out."""
+    placed = scores.where("value is not null").join(examples.select(F.col("id").alias("example_id"), F.col(order).alias("_order")), "example_id")
+    listed = placed.groupBy("metric", F.floor(F.col("_order") / size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("_order", "value"))).alias("_list"))
+    return listed.select("metric", "chunk", F.size("_list").alias("n"), F.col("_list.value").alias("values"))
