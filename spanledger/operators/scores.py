@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,29 @@ from spanledger.functions.values import merged
 Z = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.98: 2.3263478740408408, 0.99: 2.5758293035489004}
 
 
-def aggregate_scores(scores: DataFrame, slice_by: list[str] = ()) -> DataFrame:
-    """scores(metric, value, error, the columns of slice_by and, if they have some of their own, own_slice: a map) to a row per metric and slice.
+def sliced_scores(scores: DataFrame, slice_by: list[str] = (), *more: str) -> DataFrame:
+    """metric, slice, value, error (and `more`) of scores(metric, value, error, the columns of slice_by and, if they have some of their own, own_slice: a map).
 
     A score counts in its own slice (the whole without one) and once in that slice with each single column whose value isn't null
-    (`column=value`, which replaces a label of that name). Errored or null values count as errors, not as zeros; a slice with nothing but
-    errors has value 0 and count 0.
+    (`column=value`, which replaces a label of that name).
     """
     if "own_slice" in scores.columns:
         own = F.coalesce("own_slice", F.create_map().cast("map<string,string>"))
-        more = [F.when(F.col(c).isNotNull(), slice_key(merged(own, F.create_map(F.lit(c), F.col(c).cast("string"))))) for c in slice_by]
-        keys = F.array_distinct(F.array_compact(F.array(slice_key(own), *more)))
+        parts = [F.when(F.col(c).isNotNull(), slice_key(merged(own, F.create_map(F.lit(c), F.col(c).cast("string"))))) for c in slice_by]
+        keys = F.array_distinct(F.array_compact(F.array(slice_key(own), *parts)))
     else:
-        more = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in slice_by]
-        keys = F.array_compact(F.array(F.lit(""), *more))
-    rows = scores.select("metric", "value", "error", F.explode(keys).alias("slice"))
+        parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in slice_by]
+        keys = F.array_compact(F.array(F.lit(""), *parts))
+    return scores.select("metric", "value", "error", *more, F.explode(keys).alias("slice"))
+
+
+def aggregate_scores(scores: DataFrame, slice_by: list[str] = ()) -> DataFrame:
+    """Scores to a row per metric and slice, see sliced_scores().
+
+    Errored or null values count as errors, not as zeros; a slice with nothing but errors has value 0 and count 0.
+    """
     good = F.when(F.col("error").isNull(), F.col("value"))
-    return rows.groupBy("metric", "slice").agg(
+    return sliced_scores(scores, slice_by).groupBy("metric", "slice").agg(
         F.coalesce(F.avg(good), F.lit(0.0)).alias("mean"),
         F.count(good).alias("n"),
         F.count(F.when(F.col("error").isNotNull(), 1)).alias("n_errors"),
@@ -38,7 +46,7 @@ def aggregate_scores(scores: DataFrame, slice_by: list[str] = ()) -> DataFrame:
 
 def wilson(successes: Column, total: Column, confidence: float = 0.95) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval; (0, 1) without trials."""
-    z = Z[confidence]
+    z = Z.get(confidence) or NormalDist().inv_cdf((1 + confidence) / 2)
     p = successes / F.nullif(total, F.lit(0))
     middle, width = p + z * z / (2 * total), z * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total))
     below = 1 + z * z / total

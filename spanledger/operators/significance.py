@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .comparison import Z_ALPHA, Z_POWER, holm, mcnemar_p
+from .comparison import Z_ALPHA, Z_POWER, compare_metrics, holm, mcnemar_p
+from .scores import aggregate_scores, sliced_scores
 
 SEED, MEAN_RESAMPLES, PAIR_RESAMPLES, DELTA_RESAMPLES = 42, 10_000, 10_000, 5_000
 EXACT_ROWS = GROUPS = 20_000
@@ -204,3 +205,19 @@ def analyse(candidate: DataFrame, baseline: DataFrame, alpha: float = 0.05, orde
     adjusted = holm(tests.where("p is not null").select("metric", "p")).select("metric", "p_adjusted")
     out = tests.join(adjusted, "metric", "left")
     return out.select("metric", "n", "mean", "test", "p", "p_adjusted", mde.alias("mde"), F.coalesce(F.col("p_adjusted") <= alpha, F.lit(False)).alias("significant"))
+
+
+def metrics_with_intervals(rows: DataFrame, slice_by: list[str] = (), **options) -> DataFrame:
+    """aggregate_scores() with the bootstrap interval of each mean, null below LEAST_PAIRS values. rows need an example_id too."""
+    sliced = sliced_scores(rows, list(slice_by), "example_id").where("error is null and value is not null")
+    metrics = aggregate_scores(rows, list(slice_by))
+    enough = sliced.join(metrics.where(F.col("n") >= LEAST_PAIRS).select("metric", "slice"), ["metric", "slice"], "left_semi")
+    return metrics.join(mean_intervals(enough, **options), ["metric", "slice"], "left")
+
+
+def compared_runs(candidate: DataFrame, baseline: DataFrame, slice_by: list[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Two runs' scores to compare_metrics() of their means, with the paired test of each metric beside its row for the whole."""
+    means = lambda rows: aggregate_scores(rows, list(slice_by)).select("metric", "slice", F.col("mean").alias("value"))
+    good = lambda rows: rows.where("error is null")
+    tests = analyse(good(candidate), good(baseline), alpha).select("metric", F.lit("").alias("slice"), "test", "p", "p_adjusted", "mde", "significant")
+    return compare_metrics(means(candidate), means(baseline)).join(tests, ["metric", "slice"], "left")
