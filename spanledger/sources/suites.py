@@ -152,7 +152,7 @@ def write_record(folder: str, evaluator: str, version: str, record: dict) -> Pat
 
 def build_report(suite: str, verdicts: DataFrame, metrics: DataFrame, changes: DataFrame | None = None, aborted: bool = False, most: int = 100) -> dict:
     """A run's report. Gates and metrics are as many as the suite says; of changed examples the first `most` come to the driver."""
-    rows = lambda df: [r.asDict(recursive=True) for r in df.toLocalIterator()]
+    rows = lambda df: [r.asDict(recursive=True) for r in df.coalesce(1).toLocalIterator()]
     gates = sorted(rows(verdicts), key=lambda g: g["rule"])
     verdict = max((g["verdict"] for g in gates), key=VERDICTS.index, default="pass")
     named = sorted(rows(metrics), key=lambda m: (m["metric"], m.get("slice") or ""))

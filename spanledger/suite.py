@@ -277,8 +277,9 @@ class EvalSuite:
             out = out.unionByName(part)
         return out.join(results.select(F.col("example_id").cast("string").alias("example_id"), *self.slice_by), "example_id") if self.slice_by else out
 
-    def metrics(self, results: DataFrame) -> DataFrame:
-        out = scores.aggregate_scores(self.scores(results), self.slice_by) if self.evaluators else None
+    def metrics(self, results: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+        """Metrics by slice; `scored` are the scores of the results, if they are at hand."""
+        out = scores.aggregate_scores(scored if scored is not None else self.scores(results), self.slice_by) if self.evaluators else None
         for make in self.corpus.values():
             out = make(results) if out is None else out.unionByName(make(results))
         return out
@@ -307,11 +308,18 @@ class EvalSuite:
         tested, or only its metrics, for which gates that need a test are errors."""
         self.validate()
         self.spans = spans if spans is not None else self.spans
-        metrics, tests = self.metrics(results), None
+        # scores are read by metrics and tests, metrics by gates and the report
+        kept = [df.persist() for df in ([self.scores(results)] if self.evaluators else [])]
+        metrics, tests = self.metrics(results, *kept).persist(), None
+        kept.append(metrics)
         if baseline is not None and "example_id" in baseline.columns:
-            if self.evaluators:
-                tests = significance.analyse(self.scores(results), self.scores(baseline))
-            baseline = self.metrics(baseline)
+            before = self.scores(baseline).persist() if self.evaluators else None
+            if before is not None:
+                kept.append(before)
+                tests = significance.analyse(kept[0], before)
+            baseline = self.metrics(baseline, before)
         report = suites.build_report(self.name, self.verdicts(metrics, baseline, tests, calibrations), metrics)
+        for df in kept:
+            df.unpersist()
         suites.validate_report(report)
         return report
