@@ -103,7 +103,7 @@ def test_secrets_in_texts_and_values(spark):
     body = {"Author": "x", "list": [{"note": f"use {key}"}], "n": 5, "deep": {"ssn": "1"}}
     row = one(spark, redaction.redacted_json(F.lit(json.dumps(body))))
     assert json.loads(row["text"]) == {"Author": "[REDACTED:secret_key]", "list": [{"note": "use [REDACTED:github_token]"}], "n": 5, "deep": {"ssn": "1"}} and row["changed"] == 2
-    assert json.loads(one(spark, redaction.redacted_json(F.lit(json.dumps(body)), personal=True))["text"])["deep"]["ssn"] == "[REDACTED:secret_key]"
+    assert json.loads(one(spark, redaction.redacted_json(F.lit(json.dumps(body)), personal=True))["text"])["deep"]["ssn"] == "[REDACTED:pii_key]"
     assert one(spark, redaction.redacted_json(F.lit("{}"), mode="disabled"))["text"] is None
     deep = "1"
     for _ in range(20):
