@@ -1,4 +1,4 @@
-"""Spans of any producer to the ordered events that the rules look at, and the shape of a trace.
+"""Spans of any producer to the ordered events that the rules look at.
 
 spans: trace_id, span_id, parent_id, name, span_type, tool_name, status, started_us, ended_us (null: open), sequence_index,
 attributes (map of texts), tool_args (JSON text), arrival (order in the input).
@@ -6,7 +6,6 @@ attributes (map of texts), tool_args (JSON text), arrival (order in the input).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from spanledger.functions.values import args_hash
 SPAN_TYPES = ("agent", "llm", "tool", "retrieval", "guardrail", "workflow", "custom")
 STATUSES = ("ok", "error", "timeout", "cancelled", "unset")
 ACTION_ATTRIBUTE, STATE_PREFIX = "agent.action", "agent.state."
-LEAST_WIDTH = 0.002
 
 
 def known(value: Column, words: tuple[str, ...]) -> Column:
@@ -96,56 +94,3 @@ def merged_state(traces: DataFrame, spans: DataFrame, updates: DataFrame | None
         rows = rows.unionByName(entry(told, F.col("given"), of_span(F.col("at_us") + 1)))
     last = rows.groupBy("trace_id", "key").agg(F.max_by("value", "at").alias("value"))
     return last.groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("state"))
-
-
-_TREE = "trace_id string, span_id long, depth int, row int, offset double, width double, has_children boolean, is_orphan boolean, n_below int"
-
-
-def _laid_out(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one trace in depth-first order."""
-    frame = frame.sort_values(["started_us", "sequence_index", "span_id"], kind="stable")
-    ids, known_ids = frame["span_id"].tolist(), set(frame["span_id"])
-    parents = [None if pd.isna(p) else int(p) for p in frame["parent_id"]]
-    kids: dict[int, list[int]] = {}
-    for i, p in zip(ids, parents):
-        if p in known_ids:
-            kids.setdefault(p, []).append(i)
-    roots = [i for i, p in zip(ids, parents) if p not in known_ids]
-    placed: dict[int, tuple[int, int]] = {}
-    for root in [*roots, *ids]:  # what is left after the roots hangs in cycles
-        left = [(root, 0)]
-        while left:
-            i, depth = left.pop()
-            if i not in placed:
-                placed[i] = (len(placed), depth)
-                left += [(k, depth + 1) for k in reversed(kids.get(i, []))]
-    preorder = sorted(placed.values())
-    below, open_ = [0] * len(preorder), []
-    for row, depth in preorder:  # a row hides those that follow it until one that is no deeper
-        while open_ and preorder[open_[-1]][1] >= depth:
-            done = open_.pop()
-            below[done] = row - done - 1
-        open_.append(row)
-    for done in open_:
-        below[done] = len(preorder) - done - 1
-    start = frame["started_us"].to_numpy(dtype=float)
-    end = frame["ended_us"].to_numpy(dtype=float)
-    first, last = start.min(), max(float(pd.Series(end).fillna(frame["started_us"].astype(float).reset_index(drop=True)).max()), start.min())
-    whole = last - first if last > first else 1000.0
-    end = pd.Series(end).fillna(last).to_numpy()
-    share = lambda x: (x / whole).clip(0, 1)
-    return pd.DataFrame({
-        "trace_id": frame["trace_id"].to_numpy(), "span_id": ids, "depth": [placed[i][1] for i in ids], "row": [placed[i][0] for i in ids], "offset": share(start - first),
-        "width": share(end - start).clip(LEAST_WIDTH, None), "has_children": [i in kids for i in ids], "is_orphan": [p is not None and p not in known_ids for p in parents], "n_below": [below[placed[i][0]] for i in ids],
-    })
-
-
-def waterfall(spans: DataFrame) -> DataFrame:
-    """Each span's place in its trace's tree: depth, row in depth-first order, offset and width as shares of the trace's time, rows that hang below it.
-
-    Spans whose parent isn't there are roots; spans in a cycle of parents come last, from their first one; a trace is handled whole, as it is bounded at
-    ingest. The depth of selected events only is the depth of a waterfall of them.
-    """
-    rows = spans.select(F.col("trace_id").cast("string"), F.col("span_id").cast("long"), F.col("parent_id").cast("long"), "started_us", "ended_us", F.col("sequence_index") if "sequence_index" in spans.columns else F.lit(0).alias("sequence_index"))
-    return rows.groupBy("trace_id").applyInPandas(_laid_out, _TREE)
-

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import predicates, redaction, scalars, text, values
-from spanledger.operators import calibration, comparison, ingest, normalize, policy, runs, scores, significance, traces, trajectory
+from spanledger.operators import ancestry, calibration, comparison, ingest, normalize, policy, runs, scores, significance, traces, trajectory
 
-from .catalogue import _RUNS, JUDGED, RETRIES, SPANS, _judged, _read, _rounded, _run, query, spans
+from .catalogue import _RUNS, INDEXED, JUDGED, RETRIES, SPANS, _judged, _read, _rounded, _run, query, spans
 
 # ---------------------------------------------------------------- values and texts
 
@@ -449,7 +449,21 @@ _TREE_SQL = f"""{SPANS}, kids as (select s.*, p.span_id as up from spans s left
 @query(f"""with recursive {_TREE_SQL} select t.trace_id, t.span_id, depth, (row_number() over (partition by t.trace_id order by path) - 1)::int as "row", round((started_us - t0) / greatest(t1 - t0, 1), 6) as "offset", round(greatest(0.002, (ended_us - started_us) / greatest(t1 - t0, 1)), 6) as width,
     (select count(*) from tree u where u.trace_id = t.trace_id and len(u.path) > len(t.path) and u.path[1:len(t.path)] = t.path)::int as n_below from tree t join ends e on e.trace_id = t.trace_id""")
 def waterfall_depth(spark, sf):
-    return _rounded(normalize.waterfall(spans(spark, sf)).select("trace_id", "span_id", "depth", "row", "offset", "width", "n_below"))
+    return _rounded(ancestry.waterfall(spans(spark, sf)).select("trace_id", "span_id", "depth", "row", "offset", "width", "n_below"))
+
+
+@query(f"""with recursive {INDEXED}, linked as (select i.trace_id, i.span_id, i.action, case when i.index = 0 then case when i.args % 3 = 0 then (select span_id from indexed j where j.trace_id = i.trace_id and j.index = 2) end
+        when i.args % 4 <> 0 then (select span_id from indexed j where j.trace_id = i.trace_id and j.index = i.index - 1) end as parent_id from indexed i),
+    chosen as (select * from linked where action <> 'signup'),
+    climb as (select trace_id, span_id, parent_id as up, [span_id] as seen from chosen
+        union all select c.trace_id, c.span_id, p.parent_id, list_append(c.seen, p.span_id) from climb c join chosen p on p.trace_id = c.trace_id and p.span_id = c.up and not list_contains(c.seen, p.span_id))
+    select trace_id, span_id, (max(len(seen)) - 1)::int as depth from climb group by all""")
+def selected_depths(spark, sf):
+    """Chains of events, of which some go round; events that aren't selected are no ancestors."""
+    order = Window.partitionBy("trace_id").orderBy("started_us", "span_id")
+    first, k = F.col("index") == 0, F.col("args")
+    linked = trajectory.indexed(spans(spark, sf)).withColumn("parent_id", F.when(first & (k % 3 == 0), F.lead("span_id", 2).over(order)).when(~first & (k % 4 != 0), F.lag("span_id").over(order)))
+    return ancestry.with_depth(linked.where("action <> 'signup'")).select("trace_id", "span_id", "depth")
 
 
 POLICY = """

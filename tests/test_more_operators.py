@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanledger.functions import redaction, scalars, text, values
-from spanledger.operators import calibration, comparison, ingest, normalize, policy, runs, scores, significance
+from spanledger.operators import ancestry, calibration, comparison, ingest, normalize, policy, runs, scores, significance
 from spanledger.plans import more
 from spanledger.sources import datasets, suites
 from spanledger.suite import EvalSuite, coerced
@@ -164,7 +164,7 @@ def test_each_kind_of_rule(spark):
 def test_spans_and_events_of_traces(spark):
     schema = "trace_id string, span_id long, parent_id long, started_us long, ended_us long, sequence_index int"
     rows = [("t", 1, None, 0, 100, 0), ("t", 2, 1, 10, 50, 1), ("t", 3, 1, 10, None, 0), ("t", 4, 3, 20, 30, 0), ("t", 5, 9, 60, 70, 0), ("t", 6, 7, 80, 90, 0), ("t", 7, 6, 85, 90, 0)]
-    out = {r["span_id"]: r for r in normalize.waterfall(spark.createDataFrame(rows, schema)).collect()}
+    out = {r["span_id"]: r for r in ancestry.waterfall(spark.createDataFrame(rows, schema)).collect()}
     assert [i for i, _ in sorted(out.items(), key=lambda x: x[1]["row"])] == [1, 3, 4, 2, 5, 6, 7]
     assert [out[i]["depth"] for i in range(1, 8)] == [0, 1, 1, 2, 0, 0, 1] and out[1]["n_below"] == 3 and out[5]["is_orphan"] and out[3]["has_children"]
     assert out[3]["width"] == pytest.approx(0.9) and out[4]["offset"] == pytest.approx(0.2)
