@@ -98,9 +98,10 @@ def names_of(text: str) -> set[str]:
     return {ast.unparse(n) for n in ast.walk(tree) if isinstance(n, ast.Attribute | ast.Name) and id(n) not in called | inner}
 
 
-def _facts(text: str, kinds: dict[str, str]) -> dict[str, tuple[Column, str]]:
-    """Columns of a predicate's names: state.x and metadata.x of maps, actions (array), counts.x, args.x of JSON arguments."""
-    out: dict[str, tuple[Column, str]] = {}
+def _facts(text: str, kinds: dict[str, str]) -> dict[str, tuple]:
+    """Columns of a predicate's names: state.x and metadata.x of maps, actions (array), counts.x, args.x of JSON arguments. The third part says
+    where a value is there that isn't of its kind."""
+    out: dict[str, tuple] = {}
     for name in names_of(text):
         head, _, rest = name.partition(".")
         kind = kinds.get(name, "string")
@@ -110,7 +111,8 @@ def _facts(text: str, kinds: dict[str, str]) -> dict[str, tuple[Column, str]]:
             out[name] = (F.coalesce(F.try_element_at("counts", F.lit(rest)), F.lit(0).cast("long")), "number")
         elif head in ("state", "metadata", "args") and rest:
             value = F.get_json_object("tool_args", f"$.{rest}") if head == "args" else F.try_element_at(head, F.lit(rest))
-            out[name] = (value.try_cast("double") if kind == "number" else value.try_cast("boolean") if kind == "boolean" else value, kind)
+            typed = value.try_cast("double") if kind == "number" else value.try_cast("boolean") if kind == "boolean" else value
+            out[name] = (typed, kind, value.isNotNull() & typed.isNull())
     return out
 
 
@@ -119,6 +121,22 @@ def compiled(text: str, kinds: dict[str, str] | None = None) -> Column:
     return predicates.compile_predicate(text, _facts(text, kinds or {}))
 
 
+def guarded(text: str, kinds: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """A guard over the facts of a trace: where it holds, and where it can't be worked out (there it doesn't hold)."""
+    return predicates.checked_predicate(text, _facts(text, kinds or {}))
+
+
+def guard_warnings(policy: Policy, facts: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """trace_id, rule, line, message where a rule was skipped as its `when` can't be worked out for the trace; facts are read once for all rules."""
+    guards = [r for r in policy.rules if r.get("when")]
+    told = [
+        F.when(guarded(r["when"], kinds)[1], F.struct(F.lit(r["id"]).alias("rule"), F.lit(policy.lines.get(r["id"])).cast("int").alias("line"), F.lit(f"`when` can't be worked out, rule skipped: {r['when']}").alias("message")))
+        for r in guards
+    ]
+    listed = F.array_compact(F.array(*told)) if told else F.array().cast("array<struct<rule:string,line:int,message:string>>")
+    return facts.select("trace_id", F.explode(listed).alias("w")).select("trace_id", "w.*")
+
+
 def trace_facts(traces: DataFrame, events: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """A row per trace of traces(trace_id, metadata): actions, counts (retries left out), state, metadata."""
     first = trajectory.with_retries(events).groupBy("trace_id", "action").agg(F.count(F.when(F.col("attempt") == 1, 1)).alias("n"))
@@ -131,7 +149,8 @@ def trace_facts(traces: DataFrame, events: DataFrame, state: DataFrame | None =
 
 
 def failures(rule: dict, events: DataFrame, facts: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
-    """trace_id, span_id (null where no event offends) of what breaks one rule. Traces for which `when` doesn't hold are left out."""
+    """trace_id, span_id (null where no event offends) of what breaks one rule. Traces for which `when` doesn't hold are left out, and so are
+    those for which it can't be worked out: see guard_warnings()."""
     ids = facts.select("trace_id")
     visible = events.where(~F.col("failed")) if rule.get("ignore_failed") else events
     kind, none = rule["kind"], F.lit(None).cast("long").alias("span_id")
@@ -174,7 +193,7 @@ def failures(rule: dict, events: DataFrame, facts: DataFrame, kinds: dict[str, s
     else:
         out = facts.where(~compiled(rule["require"], kinds)).select("trace_id", none)
     if rule.get("when"):
-        out = out.join(facts.where(compiled(rule["when"], kinds)).select("trace_id"), "trace_id", "left_semi")
+        out = out.join(facts.where(guarded(rule["when"], kinds)[0]).select("trace_id"), "trace_id", "left_semi")
     return out.select("trace_id", F.col("span_id").cast("long"))
 
 

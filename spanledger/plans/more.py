@@ -534,6 +534,52 @@ def policy_scores(spark, sf):
     return scores.aggregate_scores(policy.as_scores(_policy(spark, sf)[1], "policy"))
 
 
+_GUARDED = """
+kind: TrajectoryPolicy
+name: guards
+rules:
+  - id: many
+    kind: conditional
+    when: int(metadata.code) > 50
+    forbid_actions: [error]
+  - id: some
+    kind: required_action
+    action: click
+    when: exists(metadata.code) and metadata.size < 30
+  - id: safe
+    kind: required_action
+    action: purchase
+    when: "'purchase' in actions or int(metadata.code) > 50"
+"""
+_CODES = f"""{SPANS}, told as (select trace_id, min(args) as k, bool_or(action = 'purchase') as bought, bool_or(action = 'click') as clicked, bool_or(failed) as failed from spans group by trace_id),
+    codes as (select *, case when k % 5 = 0 then null when k % 5 = 1 then 'n/a' else k::varchar end as code, case when k % 7 = 0 then 'wide' else k::varchar end as size from told)"""
+_NO_NUMBER = "(code is null or code = 'n/a')"
+
+
+def _guards(spark, sf):
+    """Traces whose metadata hold numbers, texts that are none, or nothing."""
+    s = spans(spark, sf)
+    k = F.min("args")
+    none = F.lit(None).cast("string")
+    made = F.map_from_arrays(F.array(F.lit("code"), F.lit("size")), F.array(F.when(k % 5 == 0, none).when(k % 5 == 1, "n/a").otherwise(k.cast("string")), F.when(k % 7 == 0, "wide").otherwise(k.cast("string"))))
+    return policy.load_policy(_GUARDED), s, policy.trace_facts(s.groupBy("trace_id").agg(made.alias("metadata")), s)
+
+
+@query(f"""with {_CODES} select trace_id, 'many' as rule, 5 as line from codes where {_NO_NUMBER} union all select trace_id, 'some', 9 from codes where code is not null and size = 'wide'
+    union all select trace_id, 'safe', 13 from codes where not bought and {_NO_NUMBER}""")
+def guard_warnings(spark, sf):
+    rules, _, facts = _guards(spark, sf)
+    return policy.guard_warnings(rules, facts, {"metadata.size": "number"}).select("trace_id", "rule", "line")
+
+
+@query(f"""with {_CODES} select trace_id, 'many' as rule from codes where not {_NO_NUMBER} and k > 50 and failed union all select trace_id, 'some' from codes where code is not null and size <> 'wide' and k < 30 and not clicked
+    union all select trace_id, 'safe' from codes where not bought and not {_NO_NUMBER} and k > 50""")
+def guarded_failures(spark, sf):
+    """A rule whose guard can't be worked out is skipped in that trace alone."""
+    rules, events, facts = _guards(spark, sf)
+    return policy.evaluate(rules, events, facts, facts.select("trace_id").where("false"), {"metadata.size": "number"})[0].select("trace_id", "rule")
+
+
 @query("select * from (values ('tool.purchase')) t(action) where action not in (select case when event_type = 'purchase' then 'x' else event_type end from events)")
 def policy_unknown_actions(spark, sf):
     rules = policy.load_policy(POLICY)

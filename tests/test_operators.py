@@ -83,6 +83,24 @@ def test_predicates(spark, expression, want):
     assert spark.range(1).select(made.alias("x")).first()["x"] is want
 
 
+NAMES = {"n": (F.lit, 5, "number"), "s": (F.lit, "a", "string"), "code": (F.lit, "x1", "string"), "xs": (lambda v: F.array(*map(F.lit, v)), [1, 2], "array")}
+
+
+@pytest.mark.parametrize(
+    "expression,holds,fails",
+    [
+        ("int(code) > 3", False, True), ("int('7') > 3", True, False), ("int('7.5') > 3", False, True), ("float('7.5') > 7", True, False), ("int(missing) > 3", False, True), ("len(missing) > 0", False, True), ("len(n) > 0", False, True), ("len(xs) == 2", True, False),
+        ("n < s", False, True), ("missing < s", False, False), ("n == s", False, False), ("n == 5 or int(code) > 3", True, False), ("n == 4 or int(code) > 3", False, True), ("n == 4 and int(code) > 3", False, False),
+        ("exists(missing) and len(missing) > 1", False, False), ("not int(code)", False, True), ("abs(-n) == 5", True, False), ("-s == 1", False, True), ("max(n, missing) > 1", False, True), ("1 > n > int(code)", False, False), ("1 < n < int(code)", False, True),
+        ("odd > 1", False, True), ("odd == 1", False, False), ("odd != 1", True, False), ("exists(odd)", True, False), ("odd", True, False), ("float(odd) > 1", False, True),
+    ],
+)
+def test_predicates_tell_where_they_fail(spark, expression, holds, fails):
+    names = {k: (make(v), kind) for k, (make, v, kind) in NAMES.items()} | {"odd": (F.lit(None).cast("double"), "number", F.lit(True))}
+    made = predicates.checked_predicate(expression, names)
+    assert tuple(spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(made)]).first()) == (holds, fails)
+
+
 @pytest.mark.parametrize("expression", ["__import__('os')", "n.x()", "lambda: 1", "n +", "n < s"])
 def test_predicates_refuse(expression, spark):
     with pytest.raises(predicates.PredicateError):
