@@ -90,6 +90,21 @@ def _keys(test, min_chars: int, bits: int):
     return run
 
 
+def _drops(keys: DataFrame, confirmed: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """keys(doc_id, hash) with `first` of the confirmed(hash, first, held) hashes, without a hash's rows in one task.
+
+    A hash is hot if it is held so often that no more such ones than fit the broadcast can be among all rows: these are
+    sent to the tasks. The others are joined by a shuffle, with at most `bound` rows of one hash.
+    """
+    bound = -(-16 * (confirmed.agg(F.sum("held")).first()[0] or 0) // broadcast_bytes) if broadcast_bytes else None
+    if not bound:
+        return keys.join(confirmed.select("hash", "first"), "hash")
+    hot = confirmed.where(F.col("held") > bound).select("hash", "first")
+    rows = stash(keys.join(F.broadcast(hot.withColumnRenamed("first", "_hot")), "hash", "left"))
+    cold = rows.where("_hot is null").drop("_hot").join(confirmed.where(F.col("held") <= bound).select("hash", "first"), "hash")
+    return rows.where("_hot is not null").withColumnRenamed("_hot", "first").unionByName(cold)
+
+
 def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int, bits: int):
     """(rows to read, function from a record batch and its lines to the mask of lines that stay)."""
     spark = docs.sparkSession
@@ -100,9 +115,9 @@ def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int, bits: int):
     if test is None:
         keys = keys.join(suspects, "hash", "left_semi")
     keys = keys.where("doc_id is not null")
-    each = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("hash").alias("hash"))
-    by_hash = each.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or(F.col("first") < F.col("last")).alias("hit"), F.min("key").alias("key"), F.min("first").alias("first"))
-    by_hash = stash(by_hash.where("hit").select("hash", "n", "key", "first"))
+    each = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("hash").alias("hash"), F.count("*").alias("held"))
+    by_hash = each.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or(F.col("first") < F.col("last")).alias("hit"), F.min("first").alias("first"), F.sum("held").alias("held"))
+    by_hash = stash(by_hash.where("hit").select("hash", "n", "first", "held"))
     confirmed = by_hash.where("n = 1")
     # keys that share a hash: none is to be expected among 2^64
     shared = stash(each.join(by_hash.where("n > 1").select("hash"), "hash", "left_semi").where("first < last").select("hash", "key", "first")) if not by_hash.where("n > 1").isEmpty() else None
@@ -137,7 +152,7 @@ def _removal(docs: DataFrame, min_chars: int, broadcast_bytes: int, bits: int):
             return told_apart(out, part, lines)
 
         return docs, stays
-    drops = keys.join(confirmed.select("key", "first"), "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("hash").alias(DROPPED))
+    drops = _drops(keys.select("doc_id", "hash"), confirmed, broadcast_bytes).where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("hash").alias(DROPPED))
     given = [c for c in docs.columns if c.lower() != DROPPED.lower()]
     if len(given) < len(docs.columns):
         raise ValueError(f"rename the column {DROPPED}")

@@ -131,6 +131,21 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert tokens.read_digests(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_a_line_of_very_many_documents_beside_rare_ones(spark):
+    """Beyond the broadcast, lines that most documents hold are sent to the tasks and others joined by a shuffle; the outcome is that of the broadcast."""
+    rows = [(i, "a line that all documents hold" + (f"\nonly this one has it, number {i}" if i % 2 else "\na line of some documents" if i < 7 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, linededup.line_digests(docs).collect()))
+    assert sorted(map(tuple, linededup.line_digests(docs, broadcast_bytes=31).collect())) == want
+    keys = spark.createDataFrame([(i, h) for i in range(100) for h in ([7, 9] if i < 2 else [7])], "doc_id long, hash long")
+    confirmed = spark.createDataFrame([(7, 0, 100), (9, 0, 2)], "hash long, first long, held long")
+    for limit in (0, 16, 31, 10**6):
+        got = linededup._drops(keys, confirmed, limit)
+        assert got.count() == 102 and got.where("first <> 0").count() == 0
+    joins = linededup._drops(keys, confirmed, 31)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in joins and joins.count("Union") == 1
+
+
 def test_variable_length_coding():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], dtype=np.uint32)
     assert (tokens.vbyte_decode(*tokens.vbyte_encode(values), len(values)) == values).all()
