@@ -183,6 +183,31 @@ def test_the_genetic_search_needs_fewer_bins_than_best_fit(n):
     assert fewer > 1
 
 
+def test_crossover_and_migration_alone_need_fewer_bins(monkeypatch):
+    """Without the step that fills bins anew: crosses between islands against best fit, and against as many starts that are never crossed."""
+    monkeypatch.setattr(packing, "relieve", lambda sizes, solution, capacity, least, rng: solution)
+
+    def fewer(children):
+        monkeypatch.setattr(packing, "CHILDREN", children)
+        won = []
+        for k in range(5):
+            rng = np.random.default_rng(k)
+            a = rng.integers(260, 500, 200)
+            b = (1024 - a) // 2 + rng.integers(-60, 60, 200)
+            sizes = np.sort(np.concatenate([a, b, 1024 - a - b]))[::-1].copy()  # three to a bin
+            bins, rooms = [], []
+            packing.best_fit(sizes.tolist(), list(range(600)), bins, rooms, 1024)
+            islands = [[] for _ in range(3)]
+            for number in range(2):
+                islands = [packing.evolve(sizes, own, (k, i, number), 1024) for i, own in enumerate(islands)]
+                islands = [own[:3] + [islands[i - 1][0]] for i, own in enumerate(islands)]
+            won.append(len(bins) - min(int(np.frombuffer(own[0], dtype="<i4").max()) + 1 for own in islands))
+        return won
+
+    crossed, alone = fewer(packing.CHILDREN), fewer(0)
+    assert min(crossed) >= 1 and sum(crossed) > sum(alone) and all(x >= y for x, y in zip(crossed, alone))
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1000, 300)
