@@ -195,6 +195,18 @@ def equations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\$([^$\n]+)\$"), 1)
 
 
+def anchors(pages: Column, shift: int = 0) -> Column:
+    """The citations of a document's pages (array of structs with `number` and `anchors`, an array of id and offset), in order: id, page, offset plus `shift`."""
+    each = lambda p: F.transform(F.coalesce(p["anchors"], F.array()), lambda a: F.struct(a["id"].alias("id"), p["number"].cast("int").alias("page"), (a["offset"].cast("int") + shift).alias("offset")))
+    return F.flatten(F.transform(pages, each))
+
+
+def split_pages(pages: Column) -> Column:
+    """Share of a document's pages, from 0 to 1, whose text doesn't break off inside a sentence; 1 without pages."""
+    broken = F.size(F.filter(pages, lambda p: p["text"].rlike(r"[^.?!:|$\s]\s*\z")))
+    return F.when(F.size(pages) > 0, 1 - broken / F.size(pages)).otherwise(1.0)
+
+
 #: Phrases that try to give orders to a model.
 INJECTIONS = r"ignore (all |any )?(previous|prior|above) instructions|disregard (the|your) (rules|instructions)|you are now|system prompt|reveal your"
 #: Characters that are not seen.

@@ -22,6 +22,11 @@ def known(value: Column, words: tuple[str, ...]) -> Column:
     return F.when(value.isin(list(words)), value).otherwise(words[-1])
 
 
+def in_vocabulary(rows: DataFrame) -> DataFrame:
+    """Rows whose span_type and status, where they have such columns, are known words: others, and null, become custom and unset."""
+    return rows.withColumns({c: known(F.col(c), words) for c, words in (("span_type", SPAN_TYPES), ("status", STATUSES)) if c in rows.columns})
+
+
 def action_of(aliases: dict[str, list[str]] | None = None, attribute: str = ACTION_ATTRIBUTE) -> Column:
     """An attribute's action, else the tool's name, else the span's, in the name that an alias stands for."""
     raw = F.coalesce(F.nullif(F.try_element_at("attributes", F.lit(attribute)), F.lit("")), F.nullif("tool_name", F.lit("")), F.col("name"))
@@ -32,8 +37,8 @@ def action_of(aliases: dict[str, list[str]] | None = None, attribute: str = ACTI
 
 
 def selected(spans: DataFrame, aliases: dict[str, list[str]] | None = None, span_types: list[str] | None = None, exclude: list[str] = ()) -> DataFrame:
-    """Spans of the wanted kinds whose action (added) no shell pattern of `exclude` matches."""
-    rows = spans.withColumn("action", action_of(aliases))
+    """Spans of the wanted kinds whose action (added) no shell pattern of `exclude` matches. Kinds that nobody knows are custom ones."""
+    rows = in_vocabulary(spans).withColumn("action", action_of(aliases))
     if span_types is not None:
         rows = rows.where(F.col("span_type").isin(span_types))
     return rows.where(~matches_glob(F.col("action"), list(exclude))) if exclude else rows
@@ -41,7 +46,7 @@ def selected(spans: DataFrame, aliases: dict[str, list[str]] | None = None, span
 
 def unmatched_traces(spans: DataFrame, chosen: DataFrame) -> DataFrame:
     """Traces that have spans of which none was selected, with the kinds that they have."""
-    kinds = spans.groupBy("trace_id").agg(F.array_sort(F.collect_set("span_type")).alias("span_types"))
+    kinds = in_vocabulary(spans).groupBy("trace_id").agg(F.array_sort(F.collect_set("span_type")).alias("span_types"))
     return kinds.join(chosen.select("trace_id").distinct(), "trace_id", "left_anti")
 
 
@@ -66,7 +71,7 @@ def events(spans: DataFrame, aliases: dict[str, list[str]] | None = None, span_t
     Columns: trace_id, span_id, parent_id, action, status, failed, args (16 hex digits of the arguments), tool_args, started_us, ended_us, sequence_index, index.
     """
     rows = clamped(deduped(selected(spans, aliases, span_types, exclude)), spans)
-    status = F.when(F.col("ended_us").isNull(), "timeout").otherwise(known(F.col("status"), STATUSES))
+    status = F.when(F.col("ended_us").isNull(), "timeout").otherwise(F.col("status"))
     rows = rows.withColumn("status", status).withColumn("args", args_hash(F.col("tool_args")))
     index = F.row_number().over(Window.partitionBy("trace_id").orderBy("started_us", "sequence_index", "span_id")) - 1
     return rows.select("trace_id", "span_id", "parent_id", "action", "status", F.col("status").isin("error", "timeout").alias("failed"), "args", "tool_args", "started_us", "ended_us", "sequence_index", index.alias("index"))

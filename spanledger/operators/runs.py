@@ -67,10 +67,15 @@ def top_k(rows: DataFrame, keys: list[str], score: str, id_: str, k: int) -> Dat
 def pending_batch(traces: DataFrame, rules: DataFrame, evaluated: DataFrame, now_us: int, size: int = 200, lookback_us: int = 24 * 3600 * 1_000_000) -> DataFrame:
     """For each rule of rules(rule, name) its oldest `size` traces within the lookback that it hasn't decided, whatever order they came in.
 
-    A rule with a name only takes traces of that name.
+    A rule with a name only takes traces of that name and is joined by it. Rules are what users wrote, a few hundred at most: those without a name
+    go to the tasks as one list.
     """
     rows = traces.where(F.col("started_us") >= now_us - lookback_us)
-    wanted = rows.join(F.broadcast(rules.withColumnRenamed("name", "_name")), F.col("_name").isNull() | (F.col("_name") == F.col("name"))).drop("_name")
+    named = rows.join(rules.where("name is not null"), "name").select(*rows.columns, *[c for c in rules.columns if c != "name"])
+    others = [c for c in rules.columns if c != "name"]
+    of_all = rules.where("name is null").agg(F.collect_list(F.struct(*others)).alias("_rules")).scalar()  # each takes every trace, so that no join can save work
+    every = rows.withColumn("_rules", of_all).withColumn("_rule", F.explode("_rules")).select(*rows.columns, *[F.col("_rule")[c].alias(c) for c in others])
+    wanted = named.unionByName(every)
     left = wanted.join(evaluated.select("trace_id", "rule"), ["trace_id", "rule"], "left_anti")
     place = F.row_number().over(Window.partitionBy("rule").orderBy("started_us", "trace_id"))
     return left.withColumn("place", place).where(F.col("place") <= size)

@@ -53,25 +53,27 @@ def wilson(successes: Column, total: Column, confidence: float = 0.95) -> tuple[
     return F.coalesce(F.greatest(F.lit(0.0), (middle - width) / below), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), (middle + width) / below), F.lit(1.0))
 
 
-#: Ranges of values that are ranked by themselves.
-RANGES = 64
+#: Ranges of a key's values that are ranked by themselves, and how fine the sketch that finds their bounds is.
+RANGES, FINENESS = 64, 1280
 
 
 def _counted_before(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """counts(keys, value, n) with `before` (rows of the key with lesser values) and `total`, without bringing a key's values to one task.
 
-    Values fall into RANGES ranges by approximate quantiles; a range's rows are summed in order, and what lies in earlier ranges, one number for
-    each key and range, is added.
+    Each key's values fall into RANGES ranges of its own, by a quantile sketch that is merged like any aggregate; a range's rows are summed in order, and
+    what lies in earlier ranges, one number for each key and range, is added. Keys must not be null. It is one lazy plan: which side of a join is
+    small enough to be sent to the tasks is left to the engine, which knows its size.
     """
-    bounds = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.005)))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col(value).cast("double"))) if bounds else F.lit(0)
-    rows = counts.withColumn("_range", place)
-    each = rows.groupBy(*keys, "_range").agg(F.sum(n).alias("_sum"))
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    earlier = F.coalesce(F.sum("_sum").over(by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = each.select(*keys, "_range", earlier.alias("_earlier"), F.sum("_sum").over(by_key).alias("total"))
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(F.broadcast(ranges), [*keys, "_range"]).withColumn("before", F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", "_range")
+    rows = counts if keys else counts.withColumn("_whole", F.lit(0))
+    by = keys or ["_whole"]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], FINENESS).alias("_bounds"))
+    rows = rows.join(bounds, by).withColumn("_range", F.size(F.filter("_bounds", lambda x: x < F.col(value).cast("double")))).drop("_bounds")
+    each = rows.groupBy(*by, "_range").agg(F.sum(n).alias("_sum"))
+    whole = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = each.select(*by, "_range", earlier.alias("_earlier"), F.sum("_sum").over(whole).alias("total"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(ranges, [*by, "_range"]).withColumn("before", F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", "_range", "_whole")
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, at: list[int]) -> DataFrame:

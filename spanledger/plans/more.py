@@ -99,6 +99,25 @@ def page_structure(spark, sf):
     )
 
 
+@query(r"""with p as (select doc_id, string_split(coalesce(text, ''), chr(10)) as pages from documents), c as (select doc_id, unnest(range(1, len(pages) + 1)) as page, unnest(pages) as t from p),
+    k as (select doc_id, page, length(t) as n, regexp_matches(t, '[^.?!:|$\s]\s*\z') as broken from c)
+    select doc_id, (count(*) filter (where n > 60))::bigint as n_citations, coalesce(sum(page * (n + 3)) filter (where n > 60), 0)::bigint as places, round(1 - count(*) filter (where broken) / count(*), 6) as integrity from k group by doc_id""")
+def page_citations(spark, sf):
+    """Lines as pages; a long one is cited at its end, three characters on."""
+    page = lambda t, i: F.struct((i + 1).alias("number"), t.alias("text"), F.when(F.length(t) > 60, F.array(F.struct(F.lit("end").alias("id"), F.length(t).alias("offset")))).alias("anchors"))
+    docs = _read(spark, sf, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), page).alias("pages"))
+    cited = docs.select("doc_id", "pages", scalars.anchors(F.col("pages"), 3).alias("c"))
+    places = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["page"] * x["offset"])
+    return cited.select("doc_id", F.size("c").cast("long").alias("n_citations"), places.alias("places"), F.round(scalars.split_pages(F.col("pages")), 6).alias("integrity"))
+
+
+@query(f"""with {SPANS} select case when args % 5 = 0 then 'llm' when args % 7 = 0 or args % 11 = 0 then 'custom' else 'tool' end as span_type, case when args % 3 = 0 then 'unset' when failed then 'error' else 'ok' end as status, count(*) as n from spans group by all""")
+def span_vocabulary(spark, sf):
+    k = F.col("args")
+    sent = spans(spark, sf).select(F.when(k % 5 == 0, "llm").when(k % 7 == 0, "odd").when(k % 11 != 0, "tool").alias("span_type"), F.when(k % 3 == 0, F.when(k % 2 == 0, "OK")).when(F.col("failed"), "error").otherwise("ok").alias("status"))
+    return normalize.in_vocabulary(sent).groupBy("span_type", "status").agg(F.count("*").alias("n"))
+
+
 _SECRETS_SQL = r"""
     case when regexp_matches(text, '\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b') then regexp_replace(text, '\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}\b', '[REDACTED:jwt]', 'g')
     when regexp_matches(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.+?-----END [A-Z ]*KEY-----') then regexp_replace(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.+?-----END [A-Z ]*KEY-----', '[REDACTED:pem]', 'g')

@@ -9,6 +9,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,40 @@ class SuiteError(ValueError):
     pass
 
 
-def _filled(value, variables: dict[str, str]):
+def _parsed(path: str) -> tuple[dict, Callable[..., str]]:
+    """A YAML file's mapping, and a function from keys and places in it to `path:line`, of the last one of them that is in the file."""
+    import yaml
+
+    text = Path(path).read_text()
+    try:
+        raw, root = yaml.safe_load(text) or {}, yaml.compose(text)
+    except yaml.YAMLError as error:
+        mark = getattr(error, "problem_mark", None)
+        raise SuiteError(f"{path}:{mark.line + 1 if mark else '?'}: {getattr(error, 'problem', error)}") from error
+    if not isinstance(raw, dict):
+        raise SuiteError(f"{path}:1: not a mapping")
+
+    def where(*steps) -> str:
+        node, line = root, None
+        for step in steps:
+            if isinstance(node, yaml.MappingNode):
+                found = next(((k, v) for k, v in node.value if k.value == str(step)), None)
+            else:
+                found = (node.value[step],) * 2 if isinstance(node, yaml.SequenceNode) and step < len(node.value) else None
+            if found is None:
+                break
+            line, node = found[0].start_mark.line + 1, found[1]
+        return f"{path}:{line}" if line else path
+
+    return raw, where
+
+
+def _filled(value, variables: dict[str, str], where: Callable[..., str], steps: tuple = ()):
     """${NAME} and ${NAME:-default} in all texts of a value."""
     if isinstance(value, dict):
-        return {k: _filled(v, variables) for k, v in value.items()}
+        return {k: _filled(v, variables, where, (*steps, k)) for k, v in value.items()}
     if isinstance(value, list):
-        return [_filled(v, variables) for v in value]
+        return [_filled(v, variables, where, (*steps, i)) for i, v in enumerate(value)]
     if not isinstance(value, str):
         return value
 
@@ -44,7 +73,7 @@ def _filled(value, variables: dict[str, str]):
         if m.group(1) in variables:
             return variables[m.group(1)]
         if m.group(2) is None:
-            raise SuiteError(f"${{{m.group(1)}}} is not set and has no default")
+            raise SuiteError(f"{where(*steps)}: ${{{m.group(1)}}} is not set and has no default")
         return m.group(2)
 
     return re.sub(r"\$\{([A-Za-z_]\w*)(?::-([^}]*))?\}", one, value)
@@ -65,17 +94,15 @@ def _typed(old, text: str):
 
 def load_suite(path: str, overrides: dict[str, str] | None = None, variables: dict[str, str] | None = None) -> dict:
     """A suite from YAML. `extends` names another file whose keys count where the suite has none (one level, mappings key by key);
-    then variables are filled in and overrides (a.b=c) set. Unknown keys and types, and names taken twice, are errors.
+    then variables are filled in and overrides (a.b=c) set. Unknown keys and types, and names taken twice, are errors that name the file's line.
     """
-    import yaml
-
-    raw = yaml.safe_load(Path(path).read_text()) or {}
+    raw, where = _parsed(path)
     if "extends" in raw:
-        base = yaml.safe_load((Path(path).parent / raw["extends"]).read_text()) or {}
+        base, _ = _parsed(str(Path(path).parent / raw["extends"]))
         if "extends" in base:
-            raise SuiteError("a suite that is extended can't extend another one")
+            raise SuiteError(f"{where('extends')}: a suite that is extended can't extend another one")
         raw = {**base, **{k: {**base[k], **v} if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in raw.items()}}
-    raw = _filled(raw, {**os.environ, **(variables or {})})
+    raw = _filled(raw, {**os.environ, **(variables or {})}, where)
     for dotted, text in (overrides or {}).items():
         at, *rest = raw, *dotted.split(".")
         for key in rest[:-1]:
@@ -83,13 +110,15 @@ def load_suite(path: str, overrides: dict[str, str] | None = None, variables: di
         at[rest[-1]] = _typed(at.get(rest[-1]), text)
     for key in raw:
         if key not in SUITE_KEYS:
-            raise SuiteError(f"{path}: unknown key {key!r}, did you mean {nearest(key, list(SUITE_KEYS))}?")
-    names = [e.get("name") for e in raw.get("evaluators", [])]
-    if len(set(names)) < len(names):
-        raise SuiteError(f"{path}: two evaluators have one name")
-    for e in raw.get("evaluators", []):
+            hint = nearest(key, list(SUITE_KEYS))
+            raise SuiteError(f"{where(key)}: unknown key {key!r}" + (f", did you mean {hint}?" if hint else ""))
+    taken: set = set()
+    for i, e in enumerate(raw.get("evaluators") or []):
+        if e.get("name") in taken:
+            raise SuiteError(f"{where('evaluators', i, 'name')}: two evaluators have the name {e.get('name')!r}")
+        taken.add(e.get("name"))
         if e.get("type") not in EVALUATOR_TYPES:
-            raise SuiteError(f"{path}: evaluator {e.get('name')!r} has the unknown type {e.get('type')!r}")
+            raise SuiteError(f"{where('evaluators', i, 'type')}: evaluator {e.get('name')!r} has the unknown type {e.get('type')!r}")
     return raw
 
 

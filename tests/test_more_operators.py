@@ -170,6 +170,63 @@ def test_spans_and_events_of_traces(spark):
     assert out[3]["width"] == pytest.approx(0.9) and out[4]["offset"] == pytest.approx(0.2)
 
 
+def test_percentiles_of_keys_that_lie_apart(spark):
+    """Each key has ranges of its own, so that one whose values lie close together isn't one range."""
+    rows = [("near", 1000 + i / 1000) for i in range(900)] + [("far", 7.0 * i) for i in range(900)] + [("tied", 3.0)] * 50 + [("one", -1.0)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    counts = frame.groupBy("k", "v").agg(F.count("*").alias("n"))
+    for r in scores.percentiles(frame, ["k"], "v", [0, 5, 50, 99, 100]).collect():
+        own = [v for k, v in rows if k == r["k"]]
+        assert [r[f"p{q}"] for q in (0, 5, 50, 99, 100)] == pytest.approx([np.percentile(own, q) for q in (0, 5, 50, 99, 100)])
+    placed = {(r["k"], r["v"]): (r["before"], r["total"]) for r in scores._counted_before(counts, ["k"], "v", "n").collect()}
+    assert len(placed) == 1802 and all(placed["near", 1000 + i / 1000] == (i, 900) for i in range(900)) and placed["tied", 3.0] == (0, 50)
+    alone = spark.createDataFrame([(5.0, 2), (1.0, 3)], "v double, n int")
+    assert {(r["v"], r["before"], r["total"]) for r in scores._counted_before(alone, [], "v", "n").collect()} == {(1.0, 0, 5), (5.0, 3, 5)}
+    assert scores.percentiles(frame.limit(0), ["k"], "v", [50]).count() == 0
+
+
+def test_rules_with_and_without_a_name_take_their_traces(spark):
+    traces_ = spark.createDataFrame([("a", "chat", 10), ("b", "mail", 20), ("c", None, 30)], "trace_id string, name string, started_us long")
+    rules = spark.createDataFrame([("all", None), ("chats", "chat"), ("none", "x")], "rule string, name string")
+    done = spark.createDataFrame([("b", "all")], "trace_id string, rule string")
+    got = runs.pending_batch(traces_, rules, done, 30)
+    assert {(r["rule"], r["trace_id"], r["place"]) for r in got.collect()} == {("all", "a", 1), ("all", "c", 2), ("chats", "a", 1)}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["rule"] for r in runs.pending_batch(traces_, rules.where("name is not null"), done, 30).collect()} == {"chats"}
+    assert runs.pending_batch(traces_, rules.limit(0), done, 30).count() == 0
+
+
+def test_words_that_nobody_knows(spark):
+    rows = spark.createDataFrame([("t", 1, "odd", "OK", 0), ("t", 2, None, None, 1), ("t", 3, "tool", "error", 2)], "trace_id string, span_id long, span_type string, status string, started_us long")
+    assert [(r["span_type"], r["status"]) for r in normalize.in_vocabulary(rows).orderBy("span_id").collect()] == [("custom", "unset"), ("custom", "unset"), ("tool", "error")]
+    assert normalize.in_vocabulary(rows.select("trace_id")).columns == ["trace_id"]
+    assert normalize.unmatched_traces(rows, rows.limit(0)).first()["span_types"] == ["custom", "tool"]
+
+
+def test_citations_of_pages(spark):
+    schema = "pages array<struct<number:int,text:string,anchors:array<struct<id:string,offset:int>>>>"
+    rows = spark.createDataFrame([([(2, "Whole. ", [("x", 5), ("y", 9)]), (3, "broken off\n", None), (4, None, []), (5, "", None)],), ([],), (None,)], schema)
+    out = rows.select(scalars.anchors(F.col("pages"), 3).alias("c"), scalars.split_pages(F.col("pages")).alias("whole")).collect()
+    assert [tuple(c) for c in out[0]["c"]] == [("x", 2, 8), ("y", 2, 12)] and out[0]["whole"] == 0.75
+    assert (out[1]["c"], out[1]["whole"], out[2]["c"], out[2]["whole"]) == ([], 1.0, None, 1.0)
+
+
+def test_suite_errors_name_the_line(spark, tmp_path):
+    path = tmp_path / "s.yaml"
+    cases = [
+        ("name: a\n\ngatez: {}\n", ":3: unknown key 'gatez', did you mean gates"), ("name: a\nevaluators:\n  - name: x\n    type: regex\n  - name: y\n    type: regexp\n", ":6: evaluator 'y'"),
+        ("evaluators:\n  - {name: x, type: regex}\n  - name: x\n    type: length\n", ":3: two evaluators"), ("name: a\ndataset:\n  path: [p, '${NO_SUCH_NAME}']\n", ":3: .*NO_SUCH_NAME"), ("name: a\n bad: [\n", ":2"), ("- a\n", ":1: not a mapping"),
+    ]
+    for text_, why in cases:
+        path.write_text(text_)
+        with pytest.raises(suites.SuiteError, match=f"s.yaml{why}"):
+            suites.load_suite(str(path))
+    (tmp_path / "base.yaml").write_text("name: a\ngatez: {}\n")
+    path.write_text("extends: base.yaml\n")
+    with pytest.raises(suites.SuiteError, match="s.yaml: unknown key"):
+        suites.load_suite(str(path))
+
+
 def test_ingest_keeps_what_was_first_stored(spark):
     stored = spark.createDataFrame([("t", 1, 5, "ok")], "trace_id string, span_id int, started_us int, status string")
     arrived = spark.createDataFrame([("t", 1, 9, "error", 2), ("t", 1, 8, "late", 1), ("t", 2, 7, "ok", 3)], "trace_id string, span_id int, started_us int, status string, arrival int")
