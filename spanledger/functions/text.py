@@ -74,15 +74,29 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(rows: DataFrame, keys: list[str], id_: str, tokens_: str, least: float) -> DataFrame:
-    """keys, a, b (a < b): rows of one key whose token sets have a Jaccard similarity of `least` or more.
+    """keys, a, b (a < b): rows of one key whose token sets have a Jaccard similarity of `least` (more than 0) or more.
 
-    A pair must share one of the first n - ceil(least * n) + 1 tokens of each, rarest first, so only such pairs are compared.
+    Equal sets are compared once and their rows paired at the end, which is no more work than there are pairs. Two sets must share one of the first
+    n - ceil(least * n) + 1 tokens of each, rarest first, so only such are met, and only if their sizes and what follows that token allow enough common
+    ones. A row without tokens is like none. Rows with one id are one row with each of its sets.
     """
-    each = rows.select(*keys, id_, F.explode(tokens_).alias("_token"))
-    often = each.groupBy(*keys, "_token").agg(F.count("*").alias("_often"))
-    order = Window.partitionBy(*keys, id_).orderBy("_often", "_token")
-    ranked = each.join(often, [*keys, "_token"]).withColumn("_place", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, id_)))
-    prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1) & (F.col("_often") > 1)).select(*keys, "_token", id_)
-    pairs = prefix.withColumnRenamed(id_, "a").join(prefix.withColumnRenamed(id_, "b"), [*keys, "_token"]).where("a < b").select(*keys, "a", "b").distinct()
-    side = lambda x: rows.select(*keys, F.col(id_).alias(x), F.col(tokens_).alias(f"_{x}"))
-    return pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).where(jaccard(F.col("_a"), F.col("_b")) >= least).select(*keys, "a", "b")
+    by = lambda *more: [*keys, *more]
+    held = rows.select(*by(id_), F.array_sort(F.array_distinct(tokens_)).alias("_set")).where(F.size("_set") > 0).distinct()
+    sets = held.groupBy(*by("_set")).agg(F.count("*").alias("_copies")).withColumn("_n", F.size("_set"))
+    members = held.join(sets, by("_set")).select(*by("_set", "_copies"), F.col(id_).alias("_id"))
+    each = sets.select(*by("_set", "_n"), F.explode("_set").alias("_token")).withColumn("_key", F.sha2(F.to_json("_set"), 256)).drop("_set")
+    often = each.groupBy(*by("_token")).agg(F.count("*").alias("_often"))
+    ranked = each.join(often, by("_token")).withColumn("_place", F.row_number().over(Window.partitionBy(*by("_key")).orderBy("_often", "_token")))
+    prefix = ranked.where((F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1) & (F.col("_often") > 1))
+    side = lambda x: prefix.select(*by("_token"), *[F.col(f"_{c}").alias(f"{c}_{x}") for c in ("key", "n", "place")])
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    sizes = (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.col("n_b") >= least * F.col("n_a") - 1e-9)
+    met = side("a").join(side("b"), by("_token")).where((F.col("key_a") < F.col("key_b")) & sizes & (rest * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9))
+    whole = lambda x: sets.select(*keys, F.sha2(F.to_json("_set"), 256).alias(f"key_{x}"), F.col("_set").alias(f"_{x}"))
+    near = met.select(*by("key_a", "key_b")).distinct().join(whole("a"), by("key_a")).join(whole("b"), by("key_b")).where(jaccard(F.col("_a"), F.col("_b")) >= least).select(*by("_a", "_b"))
+    of = lambda x: members.select(*keys, F.col("_set").alias(f"_{x}"), F.col("_id").alias(f"id_{x}"))
+    across = near.join(of("a"), by("_a")).join(of("b"), by("_b"))
+    copies = members.where("_copies > 1")
+    within = copies.select(*by("_set"), F.col("_id").alias("id_a")).join(copies.select(*by("_set"), F.col("_id").alias("id_b")), by("_set")).where("id_a < id_b")
+    pairs = across.select(*by("id_a", "id_b")).unionByName(within.select(*by("id_a", "id_b")))
+    return pairs.where("id_a <> id_b").select(*keys, F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()

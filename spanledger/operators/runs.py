@@ -189,7 +189,8 @@ def nested_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Results with their scores as a list, by metric; none is an empty list. Back in dataset order by `ordinal` where there is one."""
     listed = scores.groupBy("run_id", "example_id").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("scores"))
     out = results.join(listed, ["run_id", "example_id"], "left")
-    return out.withColumn("scores", F.coalesce("scores", F.array().cast("array<struct<metric:string,value:double>>")))
+    out = out.withColumn("scores", F.coalesce("scores", F.array().cast("array<struct<metric:string,value:double>>")))
+    return out.orderBy("run_id", "ordinal", "example_id") if "ordinal" in out.columns else out
 
 
 def judge_calls(evaluators: DataFrame, n_examples: int) -> DataFrame:

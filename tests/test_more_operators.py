@@ -185,6 +185,23 @@ def test_percentiles_of_keys_that_lie_apart(spark):
     assert scores.percentiles(frame.limit(0), ["k"], "v", [50]).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.2, 0.55, 0.8, 1.0])
+def test_similar_pairs_against_all_pairs(spark, least):
+    rng = random.Random(7)
+    rows = [(rng.choice("kl"), i, [rng.choice("abcdefghijkl") for _ in range(rng.randrange(9))]) for i in range(90)]
+    rows += [("k", 90 + i, ["a", "b", "c"]) for i in range(25)] + [("k", 200, list("abcdefghijk")), ("k", 201, list("abcdefghij")), ("l", 202, None)]
+    own = [(k, i, frozenset(t or ())) for k, i, t in rows]
+    want = {(k, min(i, j), max(i, j)) for n, (k, i, x) in enumerate(own) for m, j, y in own[n + 1 :] if k == m and x | y and len(x & y) / len(x | y) >= least}
+    got = [tuple(r) for r in text.similar_pairs(spark.createDataFrame(rows, "k string, i int, t array<string>"), ["k"], "i", "t", least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scores_come_back_in_dataset_order(spark):
+    results = spark.createDataFrame([("r", f"e{i}", (i * 7) % 20) for i in range(20)], "run_id string, example_id string, ordinal int").repartition(4)
+    out = runs.nested_scores(results, spark.createDataFrame([("r", "e1", "m", 0.5)], "run_id string, example_id string, metric string, value double")).collect()
+    assert [r["ordinal"] for r in out] == list(range(20)) and [len(r["scores"]) for r in out].count(1) == 1
+
+
 def test_rules_with_and_without_a_name_take_their_traces(spark):
     traces_ = spark.createDataFrame([("a", "chat", 10), ("b", "mail", 20), ("c", None, 30)], "trace_id string, name string, started_us long")
     rules = spark.createDataFrame([("all", None), ("chats", "chat"), ("none", "x")], "rule string, name string")
