@@ -105,3 +105,9 @@ def test_state_keeps_spans_and_a_replay_changes_nothing(spark, tmp_path):
     got = {(r["trace_id"], r["span_id"]): (r["name"], r["model"], r["status"], r["started_us"]) for r in online.stored_spans(spark, out).collect()}
     assert got == {("t1", "a"): ("again", "m1", "error", 5), ("t1", "b"): ("child", None, "ok", 6), ("t2", "a"): ("other", "m", "ok", 1)}
     assert {r["batch"]: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()} == {0: 3, 1: 1}
+
+
+def test_requests_are_read_by_one_worker_of_a_task(spark):
+    rows = spark.createDataFrame([(1, otlp.encoded({})), (2, b"\x0a\x05")], "id int, body binary")
+    for frame in otlp.decode_protobuf(rows):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
