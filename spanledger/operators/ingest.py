@@ -79,9 +79,12 @@ def insert_absent(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def append_results(stored: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Results to write: of runs(run_id, status) that are still running, examples that the run doesn't have yet."""
+    """Results to write: of runs(run_id, status) that are still running, examples that the run doesn't have yet.
+
+    Runs are few and their results many, so these are parted by example first: what is parted by run stays so for the other steps, in a task a run.
+    """
     going = runs.where("status = 'running'").select("run_id")
-    return insert_absent(stored, rows.join(going, "run_id", "left_semi"), ["run_id", "example_id"])
+    return insert_absent(stored, rows, ["run_id", "example_id"]).join(going, "run_id", "left_semi")
 
 
 def touched(spans: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -375,3 +376,11 @@ def test_users_whose_padded_ids_are_equal_have_their_own_traces(spark, tmp_path)
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = {(r["session_id"], r["trace_id"], r["name"], r["n_spans"]) for r in more.otlp_traces(spark, str(tmp_path)).collect()}
     assert got == {("0", "a" * 31 + "0", "view", 1), ("160", "a" * 31 + "0", "click", 1), ("7", "a" * 31 + "7", "early", 2)}
+
+
+def test_results_of_few_runs_are_parted_by_example(spark):
+    rows = spark.range(12).select((F.col("id") % 2).alias("run_id"), (F.col("id") % 4).alias("example_id"))
+    runs_ = spark.createDataFrame([(0, "failed"), (1, "running")], "run_id long, status string")
+    out = ingest.append_results(rows.where("example_id = 3"), rows, runs_)
+    assert [tuple(r) for r in out.collect()] == [(1, 1)]
+    assert re.search(r"hashpartitioning\(run_id#\w+, example_id#", out._jdf.queryExecution().executedPlan().toString())
