@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.sources.objects import scratch
+from spanledger.sources.objects import stored
 
 LEAST_WIDTH = 0.002
 
@@ -24,12 +24,6 @@ def _placed(spans: DataFrame) -> DataFrame:
     return rows.join(parents, ["trace_id", "parent_id"], "left")
 
 
-def _stored(frame: DataFrame) -> DataFrame:
-    path = scratch(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def _dropped(frame: DataFrame) -> None:
     """Delete the files of a round that a later one has replaced."""
     spark = frame.sparkSession
@@ -40,9 +34,9 @@ def _dropped(frame: DataFrame) -> None:
 
 def _rounds(frame: DataFrame, step, n: int) -> DataFrame:
     """Repeat a step until no row has a `jump`, or until chains without a cycle, of n rows at most, must have ended."""
-    frame, reach = _stored(frame), 1
+    frame, reach = stored(frame), 1
     while reach <= n and not frame.where("jump is not null").isEmpty():
-        longer = _stored(step(frame))
+        longer = stored(step(frame))
         _dropped(frame)
         frame, reach = longer, 2 * reach
     return frame
@@ -77,7 +71,7 @@ def with_depth(events: DataFrame) -> DataFrame:
     On a cycle of parents, or below one, each event of the cycle counts once and the event itself never. Ids must not be null; of events with one id
     the first stays.
     """
-    rows = _stored(_placed(events))
+    rows = stored(_placed(events))
     n = _largest(rows)
     climbed = _climbed(rows, n)
     turning = climbed.where("jump is not null")
@@ -100,14 +94,14 @@ def waterfall(spans: DataFrame) -> DataFrame:
     Spans whose parent isn't there are roots. What hangs on cycles of parents comes last: there the first span in order that has none of its
     ancestors before it is a root. Of spans with one id the first stays; ids must not be null; no spans give no rows. An open span lasts as long as its trace.
     """
-    rows = _stored(_placed(spans))
+    rows = stored(_placed(spans))
     n = _largest(rows)
     nodes = rows.select("trace_id", "place", "up", F.lit(False).alias("cut"))
     climbed = _climbed(nodes, n)
     turning = climbed.where("jump is not null").select("trace_id", "place", "least")
     if not turning.isEmpty():
         nodes = nodes.join(turning, ["trace_id", "place"], "left").withColumn("cut", F.coalesce(F.col("place") <= F.col("least"), F.lit(False)))
-        nodes = _stored(nodes.withColumn("up", F.when(~F.col("cut"), F.col("up"))).drop("least"))
+        nodes = stored(nodes.withColumn("up", F.when(~F.col("cut"), F.col("up"))).drop("least"))
         again = _climbed(nodes.join(turning.select("trace_id", "place"), ["trace_id", "place"]), n)
         climbed = climbed.where("jump is null").unionByName(again)
     sized = nodes.join(climbed.select("trace_id", "place", "dist", "size"), ["trace_id", "place"])

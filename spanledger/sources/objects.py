@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import values
 
+#: Rows of spans, about, in one part of parted().
+ROWS_A_TASK = 100_000
 SCHEMA = "sha256 string, text string, prefix string"
 
 
@@ -27,6 +29,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/objects-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The rows from files below spark.checkpoint.dir, for plans that look at them several times; the files stay."""
+    path = scratch(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def parted(frame: DataFrame, key: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Stored rows parted by a key, in parts of about so many rows whatever the input, so that a task's memory doesn't grow with it.
+
+    Windows, aggregates and joins on the key, or on it and others, stay in these parts.
+    """
+    spark = frame.sparkSession
+    return frame.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // rows)), key)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

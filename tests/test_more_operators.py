@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import redaction, scalars, text, values
 from spanledger.operators import ancestry, calibration, comparison, ingest, normalize, policy, runs, scores, significance
 from spanledger.plans import more
-from spanledger.sources import datasets, suites
+from spanledger.sources import datasets, objects, suites
 from spanledger.suite import EvalSuite, coerced
 
 
@@ -384,3 +384,17 @@ def test_results_of_few_runs_are_parted_by_example(spark):
     out = ingest.append_results(rows.where("example_id = 3"), rows, runs_)
     assert [tuple(r) for r in out.collect()] == [(1, 1)]
     assert re.search(r"hashpartitioning\(run_id#\w+, example_id#", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_policy_files_rules_read_stored_spans(spark):
+    """Else each rule works the spans out anew; the plans of the verdicts and of the failures read nothing but what was written before the rules."""
+    for frame in more._policy(spark, "/root/testdata/sf0.001"):
+        assert frame.inputFiles() and not any("events.parquet" in f for f in frame.inputFiles())
+
+
+def test_parts_grow_with_the_rows(spark):
+    frame = objects.stored(spark.range(1000).select((F.col("id") % 50).alias("k"), "id"))
+    assert objects.parted(frame, "k").rdd.getNumPartitions() == 4
+    parts = objects.parted(frame, "k", rows=100)
+    assert parts.rdd.getNumPartitions() == 10 and parts.count() == 1000
+    assert parts.groupBy("k").count().join(parts, "k").rdd.getNumPartitions() == 10
