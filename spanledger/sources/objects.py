@@ -36,13 +36,17 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def parts(frame: DataFrame, rows: int = ROWS_A_TASK) -> int:
+    """In how many parts of about so many rows stored rows go: no less than shuffles have."""
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // rows))
+
+
 def parted(frame: DataFrame, key: str, rows: int = ROWS_A_TASK) -> DataFrame:
     """Stored rows parted by a key, in parts of about so many rows whatever the input, so that a task's memory doesn't grow with it.
 
     Windows, aggregates and joins on the key, or on it and others, stay in these parts.
     """
-    spark = frame.sparkSession
-    return frame.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // rows)), key)
+    return frame.repartition(parts(frame, rows), key)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

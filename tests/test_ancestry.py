@@ -75,3 +75,17 @@ def test_spans_sent_twice_and_no_spans(spark):
     assert {(r["span_id"], r["depth"], r["row"]) for r in ancestry.waterfall(twice).collect()} == {(1, 0, 0), (2, 0, 1)}
     none = spark.createDataFrame([], SCHEMA)
     assert ancestry.waterfall(none).count() == 0 and ancestry.with_depth(none).count() == 0
+
+
+def test_short_traces_take_no_joined_rounds_and_longer_ones_do(spark, monkeypatch):
+    frame = spark.createDataFrame(_made(30, random.Random(6)), SCHEMA).repartition(3)
+
+    def found():
+        tree = {tuple(r) for r in ancestry.waterfall(frame).select("trace_id", "span_id", "depth", "row", "n_below").collect()}
+        return tree, {(r["trace_id"], r["span_id"], r["depth"]) for r in ancestry.with_depth(frame).collect()}
+
+    monkeypatch.setattr(ancestry, "WHOLE", 12)
+    mixed = found()
+    monkeypatch.setattr(ancestry, "WHOLE", 10_000)
+    monkeypatch.setattr(ancestry, "_rounds", lambda *_: 1 / 0)
+    assert found() == mixed
