@@ -159,8 +159,8 @@ def relieve(sizes: list[int], solution: tuple[list[list[int]], list[int]], capac
             for k in places:
                 del items[k], below[k]
         if not items and len(made) < len(chosen):
-            bins = [x for b, x in enumerate(bins) if b not in chosen] + made
-            solution = bins, [capacity - sum(sizes[i] for i in x) for x in bins]
+            kept = [b for b in range(len(bins)) if b not in chosen]
+            solution = [bins[b] for b in kept] + made, [rooms[b] for b in kept] + [capacity - sum(sizes[i] for i in x) for x in made]
     return solution
 
 
@@ -169,7 +169,7 @@ def _solution(sizes: np.ndarray, assigned: bytes, capacity: int) -> tuple[list[l
     bins: list[list[int]] = [[] for _ in range(int(of.max()) + 1)]
     for i, b in enumerate(of.tolist()):
         bins[b].append(i)
-    return bins, [capacity - int(sizes[x].sum()) for x in bins]
+    return bins, (capacity - np.bincount(of, sizes, len(bins)).astype(np.int64)).tolist()
 
 
 def _assigned(bins: list[list[int]]) -> bytes:

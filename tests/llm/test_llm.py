@@ -261,3 +261,14 @@ def test_pipeline_keeps_its_columns(spark):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_rooms_of_stored_packings_are_counted_for_all_bins_at_once():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 1024, 500)
+    bins, rooms = [], []
+    packing.best_fit(sizes.tolist(), list(range(500)), bins, rooms, 1024)
+    again = packing._solution(sizes, packing._assigned(bins), 1024)
+    assert again == (bins, rooms) and all(type(r) is int for r in again[1])
+    fewer = packing.relieve(sizes.tolist(), (bins, rooms), 1024, 0, rng)
+    assert fewer[1] == [1024 - sum(sizes[i] for i in x) for x in fewer[0]]
