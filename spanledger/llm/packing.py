@@ -98,7 +98,8 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], rooms: l
 
 def fitness(rooms: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (mean square of the fill)."""
-    return -len(rooms), sum((1 - r / capacity) ** 2 for r in rooms) / max(1, len(rooms))
+    fills = [(1 - r / capacity) ** 2 for r in range(capacity + 1)]
+    return -len(rooms), sum(map(fills.__getitem__, rooms)) / max(1, len(rooms))
 
 
 def cross(sizes, giver, taker, capacity: int, rng) -> tuple[list[list[int]], list[int]]:
@@ -125,19 +126,22 @@ def fullest(below: list[int], capacity: int) -> list[int]:
     Larger ones are preferred to smaller ones.
     """
     room = capacity + below[0]
-    sums, reach, limit = [1], 1, (1 << room + 1) - 1
     first = max(1, bisect.bisect_left(below, -room))
+    left = 1 << room  # bit r: some of the pieces so far leave a room of r
+    seen = [left]
     for k in range(first, len(below)):
-        if reach >> room:
+        if left & 1:
             break
-        reach |= reach << -below[k] & limit
-        sums.append(reach)
-    left, out = reach.bit_length() - 1, []
-    for k in range(len(sums) - 1, 0, -1):
-        if not sums[k - 1] >> left & 1:
-            out.append(first + k - 1)
-            left += below[first + k - 1]
-    return [*out, 0]
+        left |= left >> -below[k]
+        seen.append(left)
+    least, out, last = left & -left, [], len(seen)
+    while True:  # a bit that is set stays set, so the piece that set it is found by halving
+        k = bisect.bisect_left(seen, True, 0, last, key=lambda bits: bits & least != 0)
+        if not k:
+            return [*out, 0]
+        out.append(first + k - 1)
+        least <<= -below[first + k - 1]
+        last = k
 
 
 def relieve(sizes: list[int], solution: tuple[list[list[int]], list[int]], capacity: int, least: int, rng) -> tuple[list[list[int]], list[int]]:
@@ -153,9 +157,11 @@ def relieve(sizes: list[int], solution: tuple[list[list[int]], list[int]], capac
         items = sorted((i for b in chosen for i in bins[b]), key=lambda i: (-sizes[i], i))
         below = [-sizes[i] for i in items]
         made: list[list[int]] = []
-        while items and len(made) < len(chosen):
+        spare = (len(chosen) - 1) * capacity + sum(below)  # room that one bin less leaves in all of them
+        while items and len(made) < len(chosen) and spare >= 0:
             places = fullest(below, capacity)
             made.append([items[k] for k in places])
+            spare -= capacity + sum(below[k] for k in places)
             for k in places:
                 del items[k], below[k]
         if not items and len(made) < len(chosen):
@@ -192,16 +198,19 @@ def evolve(sizes: np.ndarray, population: list[bytes], seed: tuple[int, ...], ca
         now.append(relieve(plain, (bins, rooms), capacity, least, rng))
         if len(now[-1][0]) == least:
             break
-    rank = lambda s: fitness(s[1], capacity)
-    now.sort(key=rank, reverse=True)
+    ranked = sorted(((fitness(s[1], capacity), s) for s in now), key=lambda x: x[0], reverse=True)
+    ranks, now = [r for r, _ in ranked], [s for _, s in ranked]
     for _ in range(CHILDREN):
         if len(now[0][0]) == least or len(now) < 2:
             break
         a, b = rng.choice(len(now), 2, replace=False)
         child = relieve(plain, cross(plain, now[a], now[b], capacity, rng), capacity, least, rng)
-        if rank(child) > rank(now[-1]):
-            now[-1] = child
-            now.sort(key=rank, reverse=True)
+        rank = fitness(child[1], capacity)
+        if rank > ranks[-1]:
+            at = bisect.bisect_right([(-n, -fill) for n, fill in ranks[:-1]], (-rank[0], -rank[1]))
+            ranks[-1:], now[-1:] = [], []
+            ranks.insert(at, rank)
+            now.insert(at, child)
     return [_assigned(s[0]) for s in now[:POPULATION]]
 
 
